@@ -1,11 +1,14 @@
 """The contract queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate
+from . import decontaminate, mixing, simhash
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op9_simhash": simhash.op9_simhash,
+    "op10_mix": mixing.op10_mix,
 }
 
 ORACLE_SQL = {
     "op5_decontaminate": decontaminate.ORACLE,
+    "op10_mix": mixing.ORACLE,
 }
