@@ -1,8 +1,9 @@
 """The contract queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, mixing, simhash
+from . import decontaminate, mixing, pii, simhash
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op9_simhash": simhash.op9_simhash,
     "op10_mix": mixing.op10_mix,
