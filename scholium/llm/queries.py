@@ -1,9 +1,11 @@
 """The contract queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, mixing, pii, simhash
+from . import decontaminate, mixing, pii, quality_rules, simhash, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op9_simhash": simhash.op9_simhash,
     "op10_mix": mixing.op10_mix,
