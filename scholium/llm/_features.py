@@ -38,10 +38,16 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 
 
 def word_indicators(texts: pa.Array) -> Indicators:
-    """Lower-cased words of letters and digits."""
+    """Lower-cased words of letters and digits, and the stems of longer ones: their first 4, 5 and 6 bytes."""
     buf, offsets = buffer_of(texts)
     w = Words(LOWER[buf], offsets, ALNUM)
-    return Indicators(len(texts), w.text_of_word(), _bucket(w.hashes(_hasher(6))))
+    of, hasher = w.text_of_word(), _hasher(6)
+    values = hasher.bytes[w.buf]
+    found = [(of, hasher.runs(values, w.start, w.end))]
+    for k in (4, 5, 6):
+        on = np.flatnonzero(w.end - w.start > k)
+        found.append((of[on], hasher.runs(values, w.start[on], w.start[on] + k) + np.uint64(k << 44)))
+    return Indicators(len(texts), np.concatenate([t for t, _ in found]), np.concatenate([_bucket(h) for _, h in found]))
 
 
 def _pairs(h: np.ndarray, w: Words, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,13 +156,13 @@ def scored(docs: DataFrame, text: str, indicators: Callable[[pa.Array], Indicato
     return with_columns(docs, text, [T.StructField("score", T.DoubleType())], make)
 
 
-def cut(margin: np.ndarray, right: np.ndarray) -> float:
-    """The middle of the widest gap between margins that errs least, both classes counting by half."""
+def cut(margin: np.ndarray, right: np.ndarray, share: float = 0.5) -> float:
+    """The middle of the widest gap between margins that errs least, the right ones counting by share."""
     if not len(margin) or right.all() or not right.any():
         return 0.0
     order = np.argsort(margin, kind="stable")
     m, r = margin[order], right[order]
-    wrong = np.concatenate([[0], np.cumsum(r)]) / r.sum() + ((~r).sum() - np.concatenate([[0], np.cumsum(~r)])) / (~r).sum()
+    wrong = share * np.concatenate([[0], np.cumsum(r)]) / r.sum() + (1 - share) * ((~r).sum() - np.concatenate([[0], np.cumsum(~r)])) / (~r).sum()
     edges = np.concatenate([[m[0] - 1], m, [m[-1] + 1]])
     gaps = np.diff(edges)
     gaps[wrong > wrong.min() + 1e-12] = -1

@@ -26,8 +26,9 @@ def train(sample: X.Sample, positive: np.ndarray, prior: float, *, epochs: int =
     """Weights of all features and a bias. positive marks the confirmed rows; all others are unlabelled."""
     p_support, u_support = sample.support(positive), sample.support(~positive)
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
-    lift = (p_support + 0.1) / n_p / ((u_support + 0.1) / n_u)
-    chosen = (p_support >= max(2, 0.002 * n_p)) & (lift >= 1.5)
+    expected = n_p * (u_support + 0.5) / n_u
+    # Words that confirmed texts have clearly more of than all texts, which hold them at the prior's rate.
+    chosen = (p_support >= 2) & (p_support >= 2 * expected) & (p_support - expected >= 4 * np.sqrt(expected))
     small = sample.only(chosen)
     names = np.flatnonzero(chosen)
     column = np.zeros(1 << X.BITS, np.int64)
@@ -87,7 +88,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     learnt = sample.label != 0
     weights, bias = train(_rows(sample, learnt), sample.label[learnt] == 1, prior)
     margin, marked = sample.sums(weights) + bias, sample.label != 2
-    shift = math.log(CUT / (1 - CUT)) - X.cut(margin[marked], sample.label[marked] == 1)
+    shift = math.log(CUT / (1 - CUT)) - X.cut(margin[marked], sample.label[marked] == 1, prior)
     if not (sample.label == 1).any():
         shift = -2.0
     out = X.scored(docs.drop("held_out", "predicted"), text, X.word_indicators, weights, bias + shift)
