@@ -101,48 +101,78 @@ def drawn(df: DataFrame, key: str, at_most: int) -> DataFrame:
 
 
 class Sample:
-    """Texts as indicators, on the driver: labels, and features of text i in feature[at[i]:at[i + 1]]."""
+    """Texts as indicators, on the driver: labels, and columns of text i in column[at[i]:at[i + 1]].
 
-    def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
-        self.label = table.column("label").to_numpy()
-        lists = table.column("features")
-        self.at = np.concatenate([[0], np.cumsum(np.fromiter((len(x) for x in lists), np.int64, len(lists)))]).astype(np.int64)
-        self.feature = np.concatenate([c.flatten().to_numpy() for c in lists.chunks]).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
+    names: the features that the columns stand for."""
+
+    def __init__(self, names: np.ndarray, label: np.ndarray, at: np.ndarray, column: np.ndarray):
+        self.names, self.label, self.at, self.column = names, label, at, column
 
     def __len__(self) -> int:
         return len(self.label)
 
     def text(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(self.at))
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.at))
 
     def support(self, rows: np.ndarray) -> np.ndarray:
-        """In how many of the texts that rows marks each feature occurs."""
-        return np.bincount(self.feature[rows[self.text()]], minlength=1 << BITS)
-
-    def only(self, chosen: np.ndarray) -> "Sample":
-        """The sample with the chosen features alone."""
-        keep = chosen[self.feature]
-        out = object.__new__(Sample)
-        out.label, out.feature = self.label, self.feature[keep]
-        out.at = np.concatenate([[0], np.cumsum(np.bincount(self.text()[keep], minlength=len(self)))]).astype(np.int64)
-        return out
+        """In how many of the texts that rows marks each column's feature occurs."""
+        return np.bincount(self.column[rows[self.text()]], minlength=len(self.names))
+
+    def rows(self, chosen: np.ndarray) -> "Sample":
+        lengths = np.diff(self.at)
+        at = np.concatenate([[0], np.cumsum(lengths[chosen])]).astype(np.int64)
+        return Sample(self.names, self.label[chosen], at, self.column[np.repeat(chosen, lengths)])
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.text(), weights[self.feature], minlength=len(self))
+        return np.bincount(self.text(), weights[self.column], minlength=len(self))
+
+    def full(self, weights: np.ndarray) -> np.ndarray:
+        """Weights of all features from those of the columns."""
+        out = np.zeros(1 << BITS)
+        out[self.names] = weights
+        return out
 
 
-def gathered(labelled: DataFrame, text: str, label: str, indicators: Callable[[pa.Array], Indicators]) -> Sample:
-    """The rows of labelled as a Sample: tasks make the indicators, the driver gets those alone."""
+def supports(labelled: DataFrame, text: str, label: str, indicators: Callable[[pa.Array], Indicators], classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts of each class there are, and in how many each feature occurs; summed in tasks first."""
 
     def run(batches):
+        counts = np.zeros((classes, (1 << BITS) + 1), np.int64)
         for batch in batches:
             for piece in pieces(batch, "text"):
-                x = indicators(piece.column(1))
-                ends = np.searchsorted(x.text, np.arange(x.n + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(x.feature.astype(np.int32)))], ["label", "features"])
+                y, x = piece.column(0).to_numpy(), indicators(piece.column(1))
+                for c in range(classes):
+                    counts[c, :-1] += np.bincount(x.feature[(y == c)[x.text]], minlength=1 << BITS)
+                    counts[c, -1] += (y == c).sum()
+        c, f = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(counts[c, f])], ["label", "feature", "n"])
+
+    rows = labelled.select(F.col(label).cast("int").alias("label"), F.col(text).alias("text"))
+    table = rows.mapInArrow(run, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((classes, (1 << BITS) + 1), np.int64)
+    out[table.column("label").to_numpy(), table.column("feature").to_numpy()] = table.column("n").to_numpy()
+    return out[:, -1], out[:, :-1]
+
+
+def gathered(labelled: DataFrame, text: str, label: str, indicators: Callable[[pa.Array], Indicators], names: np.ndarray) -> Sample:
+    """The rows of labelled as a Sample of the named features: tasks make the indicators, the driver gets those alone."""
+    column = np.full(1 << BITS, -1, np.int32)
+    column[names] = np.arange(len(names))
+    held = labelled.sparkSession.sparkContext.broadcast(column)
 
-    return Sample(labelled.select(F.col(label).cast("int").alias("label"), F.col(text).alias("text")).mapInArrow(run, "label int, features array<int>").toArrow())
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, "text"):
+                x = indicators(piece.column(1))
+                own = held.value[x.feature]
+                ends = np.searchsorted(x.text[own >= 0], np.arange(x.n + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(own[own >= 0]))], ["label", "columns"])
+
+    table = labelled.select(F.col(label).cast("int").alias("label"), F.col(text).alias("text")).mapInArrow(run, "label int, columns array<int>").toArrow()
+    lists = table.column("columns").chunks
+    lengths = np.concatenate([np.zeros(0, np.int32), *(np.diff(c.offsets.to_numpy()) for c in lists)])
+    values = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in lists)])
+    return Sample(names, table.column("label").to_numpy(), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), values)
 
 
 def scored(docs: DataFrame, text: str, indicators: Callable[[pa.Array], Indicators], weights: np.ndarray, bias: float) -> DataFrame:

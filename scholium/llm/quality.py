@@ -18,6 +18,8 @@ from . import _features as X
 
 #: At most about so many labelled texts of each class are learnt from.
 PER_CLASS, CUT = 8_000, 0.3
+#: Features of fewer sampled texts are not learnt.
+LEAST = 5
 
 
 def log_count_ratios(sample: X.Sample, good: np.ndarray, alpha: float = 1.0) -> np.ndarray:
@@ -30,8 +32,8 @@ def dual_coordinate_descent(sample: X.Sample, values: np.ndarray, y: np.ndarray,
 
     Each step solves for one dual variable in [0, c] exactly; it ends when no variable's
     projected gradient exceeds tolerance."""
-    w, b, a = np.zeros(1 << X.BITS), 0.0, np.zeros(len(sample))
-    rng, at, feature = np.random.default_rng(seed), sample.at, sample.feature
+    w, b, a = np.zeros(len(sample.names)), 0.0, np.zeros(len(sample))
+    rng, at, feature = np.random.default_rng(seed), sample.at, sample.column
     square = np.bincount(sample.text(), values[feature] ** 2, minlength=len(sample)) + 1.0
     for _ in range(epochs):
         most = 0.0
@@ -52,15 +54,14 @@ def dual_coordinate_descent(sample: X.Sample, values: np.ndarray, y: np.ndarray,
     return w, b
 
 
-def train(sample: X.Sample, *, c: float = 1.0, least: int = 3) -> tuple[np.ndarray, float]:
-    """Weights of all features and a bias, on unit-length rows of scaled indicators."""
+def train(sample: X.Sample, *, c: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights of the sample's columns and a bias, on scaled indicators of mean square length 1."""
     good = sample.label == 1
     if good.all() or not good.any():
-        return np.zeros(1 << X.BITS), 0.0
-    small = sample.only(sample.support(np.ones(len(sample), bool)) >= least)
-    ratios = log_count_ratios(small, good)
-    ratios = ratios / math.sqrt(max(1e-9, np.bincount(small.text(), ratios[small.feature] ** 2, minlength=len(small)).mean()))
-    w, b = dual_coordinate_descent(small, ratios, np.where(good, 1.0, -1.0), c=c)
+        return np.zeros(len(sample.names)), 0.0
+    ratios = log_count_ratios(sample, good)
+    ratios = ratios / math.sqrt(max(1e-9, np.bincount(sample.text(), ratios[sample.column] ** 2, minlength=len(sample)).mean()))
+    w, b = dual_coordinate_descent(sample, ratios, np.where(good, 1.0, -1.0), c=c)
     return w * ratios, b
 
 
@@ -75,10 +76,11 @@ def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     wanted = X.drawn(known.where("y = 1"), "of", per_class).unionByName(X.drawn(known.where("y = 0"), "of", per_class))
     # Bounded by the parameter, so it can be sent to all tasks.
     judged = docs.select(F.col(doc_id).alias("of"), F.col(text).alias("text")).join(F.broadcast(wanted), "of")
-    sample = X.gathered(judged, "text", "y", X.quality_indicators)
+    _, support = X.supports(judged, "text", "y", X.quality_indicators, 2)
+    sample = X.gathered(judged, "text", "y", X.quality_indicators, np.flatnonzero(support.sum(axis=0) >= LEAST))
     weights, bias = train(sample)
     shift = math.log(CUT / (1 - CUT)) - X.cut(sample.sums(weights) + bias, sample.label == 1)
-    out = X.scored(docs.drop("held_out", "predicted"), text, X.quality_indicators, weights, bias + shift)
+    out = X.scored(docs.drop("held_out", "predicted"), text, X.quality_indicators, sample.full(weights), bias + shift)
     return out.withColumn("held_out", X.held_out(F.col(doc_id), modulus, rest)).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 

@@ -22,21 +22,18 @@ from . import _features as X
 POSITIVES, UNLABELLED, CUT = 20_000, 40_000, 0.7
 
 
+def telling(n: np.ndarray, support: np.ndarray) -> np.ndarray:
+    """Features that confirmed texts (class 1) have clearly more of than all texts (class 2)."""
+    expected = n[1] * (support[2] + 0.5) / max(1, n[2])
+    return np.flatnonzero((support[1] >= 2) & (support[1] >= 2 * expected) & (support[1] - expected >= 4 * np.sqrt(expected)))
+
+
 def train(sample: X.Sample, positive: np.ndarray, prior: float, *, epochs: int = 30, batch: int = 512, rate: float = 0.5, decay: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights of all features and a bias. positive marks the confirmed rows; all others are unlabelled."""
-    p_support, u_support = sample.support(positive), sample.support(~positive)
-    n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
-    expected = n_p * (u_support + 0.5) / n_u
-    # Words that confirmed texts have clearly more of than all texts, which hold them at the prior's rate.
-    chosen = (p_support >= 2) & (p_support >= 2 * expected) & (p_support - expected >= 4 * np.sqrt(expected))
-    small = sample.only(chosen)
-    names = np.flatnonzero(chosen)
-    column = np.zeros(1 << X.BITS, np.int64)
-    column[names] = np.arange(len(names))
-    feature, at = column[small.feature], small.at
-    w, b, rng = np.zeros(len(names)), 0.0, np.random.default_rng(seed)
+    """Weights of the sample's columns and a bias. positive marks the confirmed rows; all others are unlabelled."""
+    names, feature, at = sample.names, sample.column, sample.at
     if not positive.any() or positive.all():
-        return np.zeros(1 << X.BITS), 0.0
+        return np.zeros(len(names)), 0.0
+    w, b, rng = np.zeros(len(names)), 0.0, np.random.default_rng(seed)
     p_rows, u_rows = np.flatnonzero(positive), np.flatnonzero(~positive)
     steps = max(1, len(u_rows) // batch)
     g2, gb2 = np.full(len(names), 1e-6), 1e-6
@@ -63,9 +60,7 @@ def train(sample: X.Sample, positive: np.ndarray, prior: float, *, epochs: int =
             gb2 += gb**2
             w -= rate * gw / np.sqrt(g2)
             b -= rate * gb / math.sqrt(gb2)
-    weights = np.zeros(1 << X.BITS)
-    weights[names] = np.maximum(w, 0)  # only what the confirmed texts have more of can count as toxic
-    return weights, b
+    return np.maximum(w, 0), b  # only what the confirmed texts have more of can count as toxic
 
 
 def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, rest: int = 1, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
@@ -83,26 +78,19 @@ def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     # Bounded by the parameters, so it can be sent to all tasks.
     judged = open_docs.join(F.broadcast(wanted), "of").select("y", "text")
     free = X.drawn(open_docs, "of", unlabelled).select(F.lit(2).alias("y"), "text")
-    sample = X.gathered(judged.unionByName(free), "text", "y", X.word_indicators)
+    rows = judged.unionByName(free)
+    sample = X.gathered(rows, "text", "y", X.word_indicators, telling(*X.supports(rows, "text", "y", X.word_indicators, 3)))
     # Labelled clean rows take no part in training: they only show where the cut errs least.
     learnt = sample.label != 0
-    weights, bias = train(_rows(sample, learnt), sample.label[learnt] == 1, prior)
+    weights, bias = train(sample.rows(learnt), sample.label[learnt] == 1, prior)
     margin, marked = sample.sums(weights) + bias, sample.label != 2
     shift = math.log(CUT / (1 - CUT)) - X.cut(margin[marked], sample.label[marked] == 1, prior)
     if not (sample.label == 1).any():
         shift = -2.0
-    out = X.scored(docs.drop("held_out", "predicted"), text, X.word_indicators, weights, bias + shift)
+    out = X.scored(docs.drop("held_out", "predicted"), text, X.word_indicators, sample.full(weights), bias + shift)
     return out.withColumn("held_out", X.held_out(F.col(doc_id), modulus, rest)).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
-def _rows(sample: X.Sample, rows: np.ndarray) -> X.Sample:
-    out = object.__new__(X.Sample)
-    out.label, lengths = sample.label[rows], np.diff(sample.at)
-    out.feature = sample.feature[np.repeat(rows, lengths)]
-    out.at = np.concatenate([[0], np.cumsum(lengths[rows])]).astype(np.int64)
-    return out
-
-
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns only."""
     return scored(docs, labels, **options).where("predicted = 0").select(*docs.columns)
