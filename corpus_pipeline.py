@@ -4,17 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholium.llm import decontaminate
+from scholium.llm import decontaminate, mixing, pii, simhash, toxicity
 from scholium.llm._store import written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go; all others stay as they are."""
+    return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one of least doc_id."""
+    return simhash.representatives(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark passages are a twentieth or more go; all others stay as they are."""
     return decontaminate.without_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind; no document goes."""
+    return pii.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it, repeats counted."""
+    return mixing.digest(docs, keep_source=True)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_copies),
     ("decontamination", drop_contaminated),
+    ("personal data", redact_personal_data),
+    ("mixing", mix_sources),
 ]
 
 #: Models and hashes of these stages have no SQL form; tests hold each stage against brute force.
@@ -25,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order; each but the last is written in the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -121,8 +121,9 @@ def op10_mix(spark, sf_dir: str) -> DataFrame:
     return digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    return mix(docs).taken().select("doc_id", "size", "source_size", "target", "taken")
+def digest(docs: DataFrame, *, keep_source: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document; with its source if asked."""
+    return mix(docs).taken().select("doc_id", *["source"] * keep_source, "size", "source_size", "target", "taken")
 
 
 ORACLE = """

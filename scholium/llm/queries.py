@@ -1,19 +1,23 @@
 """The contract queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, mixing, pii, quality, quality_rules, simhash, toxicity, url_filter
+from . import decontaminate, lm, mixing, pii, quality, quality_rules, simhash, substrings, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_lm_score": lm.op4_lm_score,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_quality": quality.op7_quality,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_mix": mixing.op10_mix,
 }
 
 ORACLE_SQL = {
+    "op4_lm_score": lm.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "op8_substring_dedup": substrings.ORACLE,
     "op10_mix": mixing.ORACLE,
 }
