@@ -205,5 +205,9 @@ def op1_pii(spark, sf_dir: str) -> DataFrame:
 
 def digest(docs: DataFrame, **options) -> DataFrame:
     found = spans(docs, keep_text=False, **options)
-    counts = [F.size(F.filter("pii_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+
+    def number(k: int) -> Column:
+        return F.size(F.filter("pii_base", lambda s: s["kind"] == k)).cast("long")
+
+    counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_listed("pii_base"), 256).alias("base_sha256"), _listed("pii_spans").alias("spans"))
