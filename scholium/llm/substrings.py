@@ -154,12 +154,11 @@ class _Block:
 
     def __init__(self, texts: pa.Array, window: int):
         self.words: Words = words_of(texts, NOT_SPACE)
-        self.h = self.words.hashes(_hasher(21))
         self.at = self.words.windows(window)
 
     def symbols(self, window: int):
         """Distinct symbol names, which windows have which, and the names that two places of the block share."""
-        name, place = representatives(self.h, self.words.text_of_word(), self.at, window)
+        name, place = representatives(self.words.hashes(_hasher(21)), self.words.text_of_word(), self.at, window)
         keys, of = np.unique(name, return_inverse=True)
         once = np.unique(np.stack([of, place], axis=1), axis=0)[:, 0] if len(of) else of
         return keys, of, np.bincount(once, minlength=len(keys)) > 1
@@ -167,7 +166,7 @@ class _Block:
     def windows(self, chosen: np.ndarray, window: int):
         """Distinct hashes of the chosen windows (two halves), which window has which, and those that the block repeats."""
         at = self.at[chosen]
-        one = _hasher(22).runs(self.h, at, at + window)
+        one = _hasher(22).runs(self.words.hashes(_hasher(21)), at, at + window)
         two = _hasher(23).runs(self.words.hashes(_hasher(24)), at, at + window)
         order = np.lexsort((two, one))
         a, b = one[order], two[order]
@@ -179,11 +178,31 @@ class _Block:
         return a[new], b[new], of, np.bincount(group, minlength=int(new.sum())) > 1
 
 
-def _bits(ex: Exchange, keys: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
-    out = np.zeros(len(keys), bool)
-    for p, s in ex.split(keys):
-        out[s] = np.unpackbits(np.frombuffer(answers[p], np.uint8), count=s.stop - s.start).astype(bool)
-    return out
+def _bits(answers: dict[int, bytes], counts: np.ndarray) -> np.ndarray:
+    """The bits of all keys of a block, in order; counts: how many keys each part was asked about."""
+    parts = sorted(p for p in answers if p >= 0)
+    return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(answers[p], np.uint8), count=c).astype(bool) for p, c in zip(parts, counts.tolist(), strict=True))])
+
+
+class _Note:
+    """What a block tells itself for the next round: keys by part and each window's key.
+    Neighbouring windows mostly have one key, so only changes are kept."""
+
+    def __init__(self, counts: np.ndarray, of: np.ndarray, twice: np.ndarray):
+        self.counts, self.of, self.twice = counts, of, twice
+
+    def packed(self) -> bytes:
+        heads = np.diff(self.of, prepend=-1) != 0
+        sizes = np.array([len(self.counts), len(self.of), len(self.twice)], "<i4")
+        return b"".join([sizes.tobytes(), self.counts.astype("<i4").tobytes(), self.of[heads].astype("<i4").tobytes(), np.packbits(heads).tobytes(), np.packbits(self.twice).tobytes()])
+
+    @classmethod
+    def of_packed(cls, data: bytes) -> "_Note":
+        n_parts, n, n_keys = np.frombuffer(data, "<i4", 3).tolist()
+        ends = len(data) - np.cumsum([0, *(-(-k // 8) for k in (n_keys, n))])
+        twice, heads = (np.unpackbits(np.frombuffer(data[b:a], np.uint8), count=k).astype(bool) for a, b, k in zip(ends[:-1], ends[1:], (n_keys, n), strict=True))
+        numbers = np.frombuffer(data[12 : ends[-1]], "<i4")
+        return cls(numbers[:n_parts], numbers[n_parts:][np.cumsum(heads) - 1] if n else numbers[:0], twice)
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -195,18 +214,26 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     rows that repeat are copies of each other; an empty table gives an empty one. Only the two columns are read."""
     ex = Exchange(docs, doc_id, text)
 
+    def sizes(keys: np.ndarray) -> np.ndarray:
+        return np.array([s.stop - s.start for _, s in ex.split(keys)], int)
+
     def ask(block: int, texts: pa.Array) -> pa.Table:
-        keys, _, _ = _Block(texts, window).symbols(window)
-        return questions_table([(p, block, pack_sorted(keys[s]), b"") for p, s in ex.split(keys)])
+        b = _Block(texts, window)
+        if not len(b.at):
+            return questions_table([])
+        keys, of, twice = b.symbols(window)
+        note = (-1 - block, block, _Note(sizes(keys), of, twice).packed(), b"")
+        return questions_table([note, *((p, block, pack_sorted(keys[s]), b"") for p, s in ex.split(keys))])
 
     def verify(block: int, rows: pa.Table, answers: dict[int, bytes]) -> pa.Table:
-        b = _Block(rows.column("text"), window)
-        keys, of, twice = b.symbols(window)
-        chosen = np.flatnonzero((twice | _bits(ex, keys, answers))[of]) if len(keys) else np.zeros(0, int)
-        if not len(chosen):
+        if -1 - block not in answers:
+            return questions_table([])
+        known = _Note.of_packed(answers[-1 - block])
+        chosen = (known.twice | _bits(answers, known.counts))[known.of]
+        if not chosen.any():
             return questions_table([])
-        one, two, _, _ = b.windows(chosen, window)
-        note = (-1 - block, block, np.packbits(np.isin(np.arange(len(b.at)), chosen)).tobytes(), b"")
+        one, two, _, _ = _Block(rows.column("text"), window).windows(np.flatnonzero(chosen), window)
+        note = (-1 - block, block, np.packbits(chosen).tobytes(), b"")
         return questions_table([note, *((p, block, pack_sorted(one[s]), pack(two[s])) for p, s in ex.split(one))])
 
     def settle(block: int, rows: pa.Table, answers: dict[int, bytes]) -> pa.Table:
@@ -215,7 +242,7 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         if -1 - block in answers:
             chosen = np.flatnonzero(np.unpackbits(np.frombuffer(answers[-1 - block], np.uint8), count=len(b.at)))
             one, _, of, twice = b.windows(chosen, window)
-            repeated = b.at[chosen[(twice | _bits(ex, one, answers))[of]]]
+            repeated = b.at[chosen[(twice | _bits(answers, sizes(one)))[of]]]
             gone[repeated] += 1
             gone[repeated + window] -= 1
         gone = np.cumsum(gone)[:-1] > 0
