@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +29,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def narrowed(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with the columns own, all others in one struct, so no name can clash with an operator's;
+    and what puts docs' columns back."""
+    rest = [c for c in docs.columns if c not in own]
+    inner = F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(rest))) if rest else F.lit(True)
+
+    def restored(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(f"rest_of_row.c{rest.index(c)}").alias(c) if c in rest else F.col(c) for c in docs.columns))
+
+    return docs.select(*own, inner.alias("rest_of_row")), restored

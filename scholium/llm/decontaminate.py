@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import narrowed
 from ._text import ALNUM, RollingHash, with_columns, words_of
 
 WINDOW = 13
@@ -135,9 +136,10 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
-def without_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, with their own columns only."""
-    return judged(find(docs, benchmark, **options)).where(~F.col("contaminated")).select(*docs.columns)
+def without_documents(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The documents that are not contaminated, with their own columns, whatever their names."""
+    narrow, restored = narrowed(docs, text)
+    return restored(judged(find(narrow, benchmark, text=text, **options)).where(~F.col("contaminated")))
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
@@ -157,8 +159,9 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             out.append(t)
         return [pa.array(out, pa.string())]
 
-    found = find(docs, benchmark, text=text, **options)
-    return with_columns(found, text, [T.StructField(text, T.StringType())], make).select(*docs.columns)
+    narrow, restored = narrowed(docs, text)
+    found = find(narrow, benchmark, text=text, **options)
+    return restored(with_columns(found, text, [T.StructField(text, T.StringType())], make))
 
 
 def digest(names: list[str]) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._boost import BoostedTrees
-from ._store import written
+from ._store import narrowed, written
 
 KINDS = ["email", "ip", "card", "phone"]
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -171,11 +171,12 @@ def spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", precis
     return out.withColumn("pii_base", bare(F.col("pii_base"))).drop("pii_more")
 
 
-def redacted(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
+def redacted(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with every span of personal data replaced by its kind, like [EMAIL]; spans that
     overlap are one. The columns are those of docs; nothing else of a text changes."""
     t = F.col(text)
-    marked = spans(docs, text=text, **options)
+    narrow, restored = narrowed(docs, doc_id, text)
+    marked = spans(narrow, text=text, doc_id=doc_id, **options)
     chunks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
     some = marked.withColumn("pii_chunks", F.when(F.size("pii_spans") > 0, chunks)).withColumn("pii_ends", F.transform("pii_spans", lambda s: s["end"])).withColumn("pii_past", _prefix(F.col("pii_ends"), F.greatest))
 
@@ -189,7 +190,7 @@ def redacted(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
     tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     parts = F.zip_with("pii_spans", "pii_past", lambda s, past: F.when(s["start"] >= past, F.concat(cut(past, s["start"]), F.get(tags, s["kind"]))).otherwise(""))
     clean = F.concat(F.array_join(parts, ""), cut(F.array_max("pii_ends"), F.length(t).cast("long")))
-    return some.withColumn(text, F.when(F.size("pii_spans") > 0, clean).otherwise(t)).select(*docs.columns)
+    return restored(some.withColumn(text, F.when(F.size("pii_spans") > 0, clean).otherwise(t)))
 
 
 def _listed(a: str) -> Column:

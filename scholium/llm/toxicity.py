@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _features as X
+from ._store import narrowed
 
 #: At most about so many confirmed and unlabelled texts are learnt from.
 POSITIVES, UNLABELLED, CUT = 20_000, 40_000, 0.7
@@ -91,9 +92,10 @@ def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     return out.withColumn("held_out", X.held_out(F.col(doc_id), modulus, rest)).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
-def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not predicted toxic, with their own columns only."""
-    return scored(docs, labels, **options).where("predicted = 0").select(*docs.columns)
+def clean(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents that are not predicted toxic, with their own columns, whatever their names."""
+    narrow, restored = narrowed(docs, doc_id, text)
+    return restored(scored(narrow, labels, doc_id=doc_id, text=text, **options).where("predicted = 0"))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
