@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Tasks get what they run by value: executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EM_DASH = "—"
 #: The smallest metric value that counts as given, points of ranks and their categories.
 NO_VALUE = -999.0

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import io
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Tasks get what they run by value: executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 SCHEMA = "path string, row_item long, cells array<string>, error string"
 
