@@ -219,3 +219,14 @@ def subtype(first: Column, second: Column) -> Column:
 
 def like_escaped(q: str) -> str:
     return "".join("\\" + c if c in "\\%_" else c for c in q)
+
+
+#: Beginnings of an academic position and its code, in the order in which they are tried.
+POSITIONS = [
+    ("Asist. Cerc.", "ASIST_C"), ("Asist.", "ASIST_UNIV"), ("Lect.", "LECT_UNIV"), ("Conf.", "CONF_UNIV"), ("Prof.", "PROF_UNIV"), ("CS I", "CS_I"),
+]
+
+
+def position(c: Column) -> Column:
+    """The code of an academic position. CS II and CS III begin with CS I and get its code."""
+    return F.coalesce(*(F.when(c.startswith(start), code) for start, code in POSITIONS), F.when(c.isNotNull(), "OTHER"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import formula, text, years
 from .operators import folds, identity, joins, ledger, ranking, search
+from .plans import canonical
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -307,3 +308,66 @@ def without_self(spark, d):
     own = table(spark, d, "customer").select("c_custkey", F.array("c_nationkey").alias("own"))
     pairs = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(own, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("o_orderkey") == F.col("l_orderkey"))
     return joins.without_shared(pairs, left="own", right="theirs").select("o_orderkey", "c_custkey")
+
+
+@query("""WITH l AS (SELECT s_suppkey k, 'L' || s_nationkey id FROM supplier WHERE s_suppkey % 3 = 0), o AS (SELECT 'K' || s_nationkey id, s_suppkey k FROM supplier WHERE s_suppkey % 2 = 0), kk AS (SELECT k, min(id) id FROM o GROUP BY 1),
+a AS (SELECT s_suppkey, coalesce(l.id, kk.id, 'saff_' || substr(sha256('scopus|' || s_suppkey), 1, 24)) canonical_id FROM supplier LEFT JOIN l ON l.k = s_suppkey LEFT JOIN kk ON kk.k = s_suppkey)
+SELECT s_suppkey, canonical_id, CASE WHEN canonical_id IN (SELECT id FROM o) OR s_suppkey::VARCHAR <> min(s_suppkey::VARCHAR) OVER (PARTITION BY canonical_id) THEN 'updated' ELSE 'imported' END outcome FROM a""")
+def canonical_affiliations(spark, d):
+    """An id by link, by record, by hash."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    links = s.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("record"), F.concat(F.lit("L"), F.col("s_nationkey").cast("string")).alias("canonical_id"))
+    known = s.where("s_suppkey % 2 = 0").groupBy(F.concat(F.lit("K"), F.col("s_nationkey").cast("string")).alias("canonical_id")).agg(F.collect_set(F.col("s_suppkey").cast("string")).alias("records"))
+    own = canonical.affiliation_id(F.col("s_suppkey").cast("string"), F.col("s_name"), F.lit(None).cast("string"), F.lit(None).cast("string"))
+    return canonical.assigned(s, links, known, record="s_suppkey", fallback=own).select("s_suppkey", "canonical_id", "outcome")
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber p, l_partkey::VARCHAR id, CASE WHEN p_size <= 25 THEN 'c' || p_brand ELSE 'sauth_' || substr(sha256('source|scopus|author|' || l_partkey), 1, 24) END c, p_size > 25 pending FROM lineitem JOIN part ON l_partkey = p_partkey),
+c AS (SELECT l_orderkey, c, min((p, id::BIGINT)) p FROM x GROUP BY 1, 2), q AS (SELECT l_orderkey, id, min(p) p FROM x WHERE pending GROUP BY 1, 2), qq AS (SELECT l_orderkey, string_agg(id, ',' ORDER BY p, id::BIGINT) pending FROM q GROUP BY 1)
+SELECT l_orderkey, string_agg(c, ',' ORDER BY p) ids, coalesce(any_value(qq.pending), '') pending FROM c LEFT JOIN qq USING (l_orderkey) GROUP BY 1""")
+def author_bridge(spark, d):
+    """A source's ids as canonical ids, in order; those without a link get an id of their own and stay pending."""
+    o = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("x")).select("l_orderkey", F.transform("x.l_partkey", lambda k: k.cast("string")).alias("ids"), F.lit("Scopus").alias("source"))
+    links = table(spark, d, "part").where("p_size <= 25").select(F.lit("SCOPUS").alias("source"), F.col("p_partkey").cast("string").alias("record"), F.concat(F.lit("c"), "p_brand").alias("canonical_id"))
+    made = canonical.bridged(o, links, key="l_orderkey", ids="ids", source="source")
+    return made.select("l_orderkey", F.array_join("canonical_ids", ",").alias("ids"), F.array_join("pending_ids", ",").alias("pending"))
+
+
+@query("""WITH p AS (SELECT p_partkey k, 'P' || p_partkey id FROM part WHERE p_size > 10), e AS (SELECT DISTINCT l_partkey::VARCHAR cited_eid, l_suppkey::VARCHAR citing_eid FROM lineitem)
+SELECT cited_eid, citing_eid, a.id cited_id, b.id citing_id, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN 'scit_' || substr(sha256(a.id || '|' || b.id), 1, 24) END edge_id,
+CASE WHEN a.id IS NULL THEN 'UNRESOLVED_CITED_PUBLICATION' WHEN b.id IS NULL THEN 'UNRESOLVED_CITING_PUBLICATION' END reason FROM e LEFT JOIN p a ON a.k::VARCHAR = cited_eid LEFT JOIN p b ON b.k::VARCHAR = citing_eid""")
+def citation_edges(spark, d):
+    """Citations between known publications, and which end of the others is unknown."""
+    pubs = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").cast("string").alias("eid"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"))
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("cited_eid"), F.col("l_suppkey").cast("string").alias("citing_eid"))
+    return canonical.citation_edges(lines, pubs)
+
+
+@query("""WITH p AS (SELECT 'P' || p_partkey id, 'e' || p_partkey eid, '10.1/' || (p_partkey % 170) doi, CASE WHEN p_size < 25 THEN 'w' || (p_partkey % 150) END own FROM part), i AS (SELECT c_custkey item, CASE WHEN c_custkey % 3 = 0 THEN 'e' || c_custkey END eid, '10.1/' || (c_custkey % 211) doi, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 7 = 1 THEN 'NON_WOS' ELSE 'w' || (c_custkey % 190) END ext FROM customer),
+e AS (SELECT eid, min(id) id FROM p GROUP BY 1), dd AS (SELECT doi, min(id) id, max(id) u FROM p GROUP BY 1), h AS (SELECT own, min(id) a, max(id) b FROM p WHERE own IS NOT NULL GROUP BY 1),
+f AS (SELECT i.item, i.ext, coalesce(e.id, CASE WHEN dd.id = dd.u THEN dd.id END) t, e.id IS NULL AND dd.id <> dd.u amb FROM i LEFT JOIN e ON i.eid = e.eid LEFT JOIN dd ON i.doi = dd.doi WHERE ext <> 'NON_WOS'),
+r AS (SELECT f.item, f.ext, f.t, CASE WHEN amb THEN 'ambiguous-doi' WHEN t IS NULL THEN 'no-id-eid-doi-match' WHEN p.own <> f.ext THEN 'target-has-other-key' WHEN h.a <> t OR h.b <> t THEN 'key-assigned' END reason FROM f LEFT JOIN p ON p.id = f.t LEFT JOIN h ON h.own = f.ext),
+bt AS (SELECT t, arg_min(ext, item) x FROM r WHERE reason IS NULL GROUP BY 1), bk AS (SELECT ext, arg_min(t, item) x FROM r WHERE reason IS NULL GROUP BY 1),
+z AS (SELECT r.item, r.t, coalesce(reason, CASE WHEN bt.x <> r.ext THEN 'target-has-other-key' WHEN bk.x <> r.t THEN 'key-assigned' END, 'linked') reason FROM r LEFT JOIN bt ON bt.t = r.t LEFT JOIN bk ON bk.ext = r.ext)
+SELECT item, CASE reason WHEN 'linked' THEN 'LINKED' WHEN 'no-id-eid-doi-match' THEN 'UNMATCHED' ELSE 'CONFLICT' END AS state, reason, t target_id FROM z UNION ALL SELECT item, 'SKIPPED', 'non-wos-or-empty', NULL FROM i WHERE ext IS NULL OR ext = 'NON_WOS'""")
+def enrichment_links(spark, d):
+    """P10: external ids for publications, found by eid or a DOI of their own, and why others are refused."""
+    text_of = lambda c: F.col(c).cast("string")
+    p = table(spark, d, "part")
+    w = F.concat(F.lit("w"), (F.col("p_partkey") % 150).cast("string"))
+    pubs = p.select(F.concat(F.lit("P"), text_of("p_partkey")).alias("id"), F.concat(F.lit("e"), text_of("p_partkey")).alias("eid"), F.concat(F.lit("https://doi.org/10.1/"), (F.col("p_partkey") % 170).cast("string")).alias("doi"), F.when(F.col("p_size") < 25, w).alias("wos_id"))
+    k = F.col("c_custkey")
+    ext = F.when(k % 7 == 1, "NON_WOS").when(k % 7 != 0, F.concat(F.lit("w"), (k % 190).cast("string")))
+    incoming = table(spark, d, "customer").select(k.alias("item"), F.lit(None).cast("string").alias("id"), F.when(k % 3 == 0, F.concat(F.lit("e"), text_of("c_custkey"))).alias("eid"), F.concat(F.lit("10.1/"), (k % 211).cast("string")).alias("doi"), ext.alias("wos_id"))
+    return canonical.enrichment_links(incoming, pubs, item="item", external="wos_id")
+
+
+@query("""WITH m AS (SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'eid|e' || p_partkey WHEN p_partkey % 4 = 1 THEN 'doi|10.1/' || p_size ELSE 'title|' || p_name || '|date|' || lower(p_type) || '|creator|' || lower(p_brand) || '|forum|' || lower(p_brand) END x, p_size FROM part), i AS (SELECT *, 'spub_' || substr(sha256(x), 1, 24) canonical_id FROM m)
+SELECT p_partkey, canonical_id, CASE WHEN canonical_id IN (SELECT canonical_id FROM i WHERE p_size > 25) THEN 'updated' ELSE 'imported' END outcome FROM i""")
+def canonical_backfill(spark, d):
+    """Ids of what a publication's row gives, and whether they are known."""
+    k, nothing = F.col("p_partkey"), F.lit(None).cast("string")
+    eid = F.when(k % 4 == 0, F.concat(F.lit("E"), k.cast("string")))
+    rows = table(spark, d, "part").select("p_partkey", "p_size", eid.alias("eid"), nothing.alias("wos_id"), nothing.alias("scholar_id"), F.when(k % 4 == 1, F.concat(F.lit("doi:10.1/"), F.col("p_size").cast("string"))).alias("doi"), F.col("p_name").alias("title"), F.col("p_type").alias("date"), F.col("p_brand").alias("creator"), F.col("p_brand").alias("forum"))
+    known = canonical.backfilled(rows.where("p_size > 25"), spark.createDataFrame([], "id string")).select(F.col("canonical_id").alias("id"))
+    return canonical.backfilled(rows, known).select("p_partkey", "canonical_id", "outcome")

@@ -38,6 +38,35 @@ def columnar(df: DataFrame, json: str, fields: list[str]) -> DataFrame:
     return named.select("m", F.explode(keys).alias("index")).select(F.col("index"), *(F.col(f"m.{f}")[F.col("index")].alias(f) for f in fields))
 
 
+#: Levels of artistic events.
+EVENT_RANKS = {"1": "INTERNATIONAL_TOP", "2": "INTERNATIONAL", "3": "NATIONAL"}
+
+
+def artistic_events(spark: SparkSession, path: str, domains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events (domain, name, rank) of files `{"events": [...]}`, and the domains that domains (name)
+    lacks. Events of unknown level go, their domains stay."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "events array<struct<domain:string,name:string,level:string>>").alias("x"))
+    events = whole.select(F.inline("x.events"))
+    levels = F.create_map(*(F.lit(v) for pair in EVENT_RANKS.items() for v in pair))
+    ranked = events.withColumn("rank", levels[F.col("level")]).where("rank is not null").drop("level")
+    new = events.select(F.col("domain").alias("name")).where("name is not null").distinct().join(domains.select("name"), "name", "left_anti")
+    return ranked, new
+
+
+def citing_articles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Columnar files `{"eid": {i: eid}, "citing articles": {i: [article, ...]}}` as events of citing
+    publications (record, payload), of citations (record, cited_eid, citing_eid), and the articles
+    without an eid (cited_eid, payload). A number in place of a list is no citations; each record once."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "eid map<string,string>, `citing articles` map<string,string>").alias("x"))
+    rows = whole.select("x.eid", F.explode("x.citing articles").alias("i", "list"))
+    each = rows.select(text.blank_to_null(F.col("eid")[F.col("i")]).alias("cited_eid"), F.explode(F.from_json("list", "array<string>")).alias("payload")).where("cited_eid is not null")
+    named = each.withColumn("citing_eid", text.blank_to_null(F.get_json_object("payload", "$.eid")))
+    good = named.where("citing_eid is not null")
+    publications = good.groupBy(F.col("citing_eid").alias("record")).agg(F.min("payload").alias("payload"))
+    citations = good.select(F.concat("cited_eid", F.lit("->"), "citing_eid").alias("record"), "cited_eid", "citing_eid").distinct()
+    return publications, citations, named.where("citing_eid is null").select("cited_eid", "payload")
+
+
 def with_layout(df: DataFrame, layouts: DataFrame, *, cells: str, keys: list[str]) -> DataFrame:
     """Typed fields of positional cells. layouts: keys, year_from, year_to, field, position; a row of
     df (with keys and year) takes the layout of its keys and year. One broadcast of a few rows
