@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,13 @@ def narrowed(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame
         return df.select(*(F.col(f"rest_of_row.c{rest.index(c)}").alias(c) if c in rest else F.col(c) for c in docs.columns))
 
     return docs.select(*own, inner.alias("rest_of_row")), restored
+
+
+class Carried:
+    """A value to broadcast: it arrives as itself, its classes with it, so executors need no installed copy."""
+
+    def __init__(self, value):
+        self.value = value
+
+    def __reduce__(self):
+        return pickle.loads, (cloudpickle.dumps(self.value),)

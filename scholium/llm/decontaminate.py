@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import narrowed
+from ._store import Carried, narrowed
 from ._text import ALNUM, RollingHash, with_columns, words_of
 
 WINDOW = 13
@@ -109,7 +109,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str
     are replaced, all others are kept."""
     spark = docs.sparkSession
     for k, items in enumerate(blocks(benchmark, item, item_text, block_bytes)):
-        held = spark.sparkContext.broadcast(WindowSet(items, window))
+        held = spark.sparkContext.broadcast(Carried(WindowSet(items, window)))
 
         def make(batch: pa.RecordBatch, held=held, first=k == 0) -> list:
             counts, hits = held.value.scan(batch.column(batch.schema.get_field_index(text)))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import written
+from ._store import Carried, written
 from ._text import buffer_of, mixed, with_columns
 
 #: (host, path, verdict), as the contract gives them.
@@ -129,7 +129,7 @@ def judged(pages: DataFrame, *, url: str = "url", keep: list[str] | None = None,
     known = ruled.where(F.col("by_rule").isNotNull()).withColumn("blocked", F.col("by_rule.verdict") == "block")
     cells = counted(known, url, "blocked").toArrow()  # CONTEXTS * SYMBOLS * 2 rows of 16 bytes at most
     models = UrlModels(cells.column("cell").to_numpy(), cells.column("n").to_numpy().astype(np.float32))
-    held = pages.sparkSession.sparkContext.broadcast(models)
+    held = pages.sparkSession.sparkContext.broadcast(Carried(models))
     scored = with_columns(ruled, url, [T.StructField("score", T.DoubleType())], lambda batch: [held.value.score(batch.column(batch.schema.get_field_index(url)))])
     scored = written(scored, "url-scores")
     top = 4.0
