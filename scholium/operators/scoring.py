@@ -106,12 +106,20 @@ def economics(items: DataFrame, facts: DataFrame, *, core: list[str], informatic
     return out.withColumn("m", F.when(F.col("category").isNotNull(), F.when(name.isin(core), 10).when(name.isin(informatics), 8).otherwise(6)))
 
 
-def classification(items: DataFrame, facts: DataFrame) -> DataFrame:
-    """Flags of each item by quarter and index. items: item, journal, year, subtype, forum_name, indexed (in the citation index)."""
+def classification(items: DataFrame, facts: DataFrame, *, compat: bool = False) -> DataFrame:
+    """Flags of each item by quarter and index. items: item, journal, year, subtype, forum_name, indexed (in the citation index).
+    compat (Q7): only a journal's first category, by name, is judged in the item's year, all others in the last year."""
     index = F.upper(text.first_dash_index(F.col("category")))
     article, paper, chapter = F.col("subtype").isin("ar", "re"), F.col("subtype") == "cp", F.col("subtype").isin("ch", "bk")
     years = items.withColumn("year", F.least("year", F.lit(LAST_YEAR)))
-    found = years.where(article).join(facts.where("metric = 'AIS'"), ["journal", "year"]).groupBy("item").agg(
+    ais = facts.where("metric = 'AIS'")
+    if compat:
+        first = ais.groupBy("journal").agg(F.min("category").alias("_first"))
+        due = years.where(article).join(first, "journal").withColumn("_at", F.explode(F.array_distinct(F.array("year", F.lit(LAST_YEAR)))))
+        judged = due.join(ais.withColumnRenamed("year", "_at"), ["journal", "_at"]).where(F.col("_at") == F.when(F.col("category") == F.col("_first"), F.col("year")).otherwise(LAST_YEAR))
+    else:
+        judged = years.where(article).join(ais, ["journal", "year"])
+    found = judged.groupBy("item").agg(
         *(F.bool_or(F.col("quarter").eqNullSafe(q) & (index.contains("SCIE") | index.contains("SSCI"))).alias(q.lower()) for q in QUARTER_POINTS),
         F.bool_or(index.contains("ESCI")).alias("esci"), F.bool_or(index.contains("AHCI")).alias("ahci"), F.bool_or(~index.contains("ESCI") & ~index.contains("AHCI")).alias("erih"),
     )

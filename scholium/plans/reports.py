@@ -25,6 +25,16 @@ def indicator_totals(scored: DataFrame, *, key: list[str], selector: str = "ALL"
     return scored.groupBy(*key).agg(F.count("*").alias("n"), F.coalesce(F.sum("author_score"), F.lit(0.0)).alias("total"))
 
 
+def scores_by_title(scored: DataFrame, *, key: list[str], title: str, order: str) -> DataFrame:
+    """Q1: scored as a report keyed by title sees it: each row has the author_score of its title's last row
+    with a positive score (by order), or 0; rows of one title then count once each in any total."""
+    kept = scored.where(F.coalesce("score", F.lit(0.0)) + F.coalesce("author_score", F.lit(0.0)) > 0)
+    by = [*key, title]
+    last = kept.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by))).agg(F.max_by("author_score", order).alias("_last"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(by)]
+    return scored.join(last, same, "left").select(*(c for c in scored.columns if c != "author_score"), F.coalesce("_last", F.lit(0.0)).alias("author_score"))
+
+
 def criteria(totals: DataFrame, config: DataFrame) -> DataFrame:
     """totals (owner, indicator, total) summed by criterion; config: criterion, indicators (array of
     indicator numbers). A number without an indicator is counted in n_missing."""

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholium.functions import text
-from scholium.plans import canonical, exports
+from scholium.operators import scoring
+from scholium.plans import canonical, exports, reports
 from scholium.sources import files, paged
 
 
@@ -103,3 +104,18 @@ def test_position(spark):
     given = ["Asist. Cerc. X", "Asist. X", "CS III", "Dr.", None]
     got = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, p string").orderBy("i").select(text.position(F.col("p"))).collect()
     assert [r[0] for r in got] == ["ASIST_C", "ASIST_UNIV", "CS_I", "OTHER", None]
+
+
+def test_by_title(spark):
+    rows = [("o", f"i{i:02}", "same" if i < 2 else f"t{i}", 1.0, float(i + 1)) for i in range(12)] + [("o", "i99", "t11", 0.0, 0.0), ("o", "i98", None, 1.0, 50.0)]
+    made = reports.scores_by_title(spark.createDataFrame(rows, "owner string, item string, title string, score double, author_score double"), key=["owner"], title="title", order="item")
+    got = {r.item: r.author_score for r in made.collect()}
+    assert (len(got), got["i00"], got["i01"], got["i99"], got["i98"]) == (14, 2.0, 2.0, 12.0, 50.0)
+    assert reports.indicator_totals(made, key=["owner"], selector="TOP_10").first().total == 50 + 12 + 12 + sum(range(5, 12))
+
+
+def test_classification_of_first_category(spark):
+    items = spark.createDataFrame([("p", "j", 2020, "ar", "X", False)], "item string, journal string, year int, subtype string, forum_name string, indexed boolean")
+    facts = spark.createDataFrame([("j", 2020, "A - SCIE", "AIS", "Q1"), ("j", 2020, "B - SCIE", "AIS", "Q2"), ("j", 2023, "A - SCIE", "AIS", "Q3"), ("j", 2023, "B - SCIE", "AIS", "Q4")], "journal string, year int, category string, metric string, quarter string")
+    flags = lambda compat: [getattr(scoring.classification(items, facts, compat=compat).first(), q) for q in ("q1", "q2", "q3", "q4")]
+    assert flags(False) == [True, True, False, False] and flags(True) == [True, False, False, True]
