@@ -261,15 +261,15 @@ def keep_last(spark, d):
     return ranking.latest(both, key=["user_id"], order=["event_id"])
 
 
-@query("""WITH s AS (SELECT o_custkey, o_orderkey, o_totalprice S, count(*)::DOUBLE N FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3), v AS (SELECT *, round(CASE WHEN N > 3 THEN S / greatest(N, 1) ELSE S * 2 END, 4) score FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) i FROM v) SELECT o_custkey, count(*) n, sum(score::DECIMAL(18, 4))::DOUBLE total FROM r WHERE i <= 10 GROUP BY 1""")
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, o_totalprice S, count(*)::DOUBLE N FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3), v AS (SELECT *, round(CASE WHEN N > 3 THEN S / greatest(N, 1) ELSE S * 2 END, 6) score FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) i FROM v) SELECT o_custkey, count(*) n, sum(round(score * 1000000)::BIGINT)::DOUBLE / 1000000 total FROM r WHERE i <= 10 GROUP BY 1""")
 def formula_top10(spark, d):
     """A user's formula, the ten best of each key, their total."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("N"))
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("S")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    scored = o.withColumn("score", F.round(formula.compiled("N > 3 ? S / max(N, 1) : S * 2", {"S", "N"}), 4))
+    scored = o.withColumn("score", F.round(formula.compiled("N > 3 ? S / max(N, 1) : S * 2", {"S", "N"}), 6))
     best = ranking.top(scored, group=["o_custkey"], order=[F.desc("score"), F.asc("o_orderkey")], n=10)
-    return best.groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.col("score").cast("decimal(18,4)")).cast("double").alias("total"))
+    return best.groupBy("o_custkey").agg(F.count("*").alias("n"), (F.sum(F.round(F.col("score") * 1000000).cast("long")).cast("double") / 1000000).alias("total"))
 
 
 @query("SELECT o_orderkey, y::INT AS year FROM (SELECT o_orderkey, unnest(list_sort(list_distinct(list_concat([1994], range(year(o_orderdate) - 2, year(o_orderdate) + 1))))) y FROM orders)")
