@@ -173,30 +173,37 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def clustered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a long) and component_id (the least id that links reach).
+def clustered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", uid: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a long) and component_id (the least id that links reach);
+    with uid, a column that tells rows apart, also uid and root (the component's least fingerprint:
+    unlike its id, no other component has it).
 
     Words are split at spaces and 0x09-0x0D after lower-casing A-Z; shingles of three,
     repeats included; a shorter text is one shingle; a null or wordless text has
     fingerprint zero and links like any other. A null id is kept and is never a
     component's least id unless there is no other (then null); rows that repeat
     get a row each; an empty table gives an empty one."""
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    own = [] if uid is None else ["uid", "root"]
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(uid).alias("uid") for _ in own[:1]))
     made = with_columns(named, "text", [T.StructField("fp", T.LongType())], lambda batch: [pa.array(fingerprints(batch.column(batch.schema.get_field_index("text"))).view(np.int64))])
-    marked = written(made.select("doc_id", "fp"), "fingerprints")
+    marked = written(made.select("doc_id", "fp", *own[:1]), "fingerprints")
     fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = components(links(fps)).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = written(rooted.join(named, "root").select("fp", "component_id"), "components")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = written(rooted.join(named, "root").select("fp", "component_id", *own[1:]), "components")
+    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id", *own)
 
 
 def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, the one of least id, with its own columns; of rows
-    with that id, one. A component whose ids are all null keeps one row."""
-    kept = clustered(docs, doc_id=doc_id, text=text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates([doc_id])
+    """One row of each component, with its own columns: of the rows with its least id, the first.
+    Rows are told apart by a key of their own, so ids may be null (they come last) or repeat: an
+    id that is least in several components keeps a row of each."""
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row")), "keyed-documents")
+    place = {c: F.col(f"row.c{i}") for i, c in enumerate(docs.columns)}
+    found = clustered(keyed.select("uid", place[doc_id].alias("doc_id"), place[text].alias("text")), uid="uid")
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("uid").alias("uid"))
+    return keyed.join(kept, "uid", "left_semi").select(*(x.alias(c) for c, x in place.items()))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

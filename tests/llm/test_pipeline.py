@@ -38,6 +38,16 @@ def test_near_copies(spark, where, docs):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(ids.values()))
 
 
+def test_near_copies_without_ids_or_with_one_id_twice(spark):
+    """Null ids, and one id on rows of different texts: each component keeps exactly one row."""
+    say = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    texts = [(None, say("a")), (None, say("a")), (None, say("b")), (3, say("c")), (5, say("c")), (5, say("d")), (7, say("e")), (7, say("f")), (None, say("f"))]
+    docs = spark.createDataFrame([(i, t, str(n)) for n, (i, t) in enumerate(texts)], "doc_id long, text string, uid string").repartition(3)
+    kept = STAGES["near duplicates"](spark, docs, None)
+    assert kept.columns == docs.columns
+    assert sorted((r.text, r.doc_id or 0) for r in kept.collect()) == [(say("a"), 0), (say("b"), 0), (say("c"), 3), (say("d"), 5), (say("e"), 7), (say("f"), 7)]
+
+
 def test_decontamination(spark, where, docs):
     kept = STAGES["decontamination"](spark, docs, where)
     assert kept.columns == docs.columns
