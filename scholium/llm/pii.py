@@ -2,12 +2,16 @@
 
 Generators with high recall propose spans, which may overlap: the four base patterns, and
 looser forms of e-mail addresses and telephone numbers. Base spans (a base pattern's match
-that passes its check) are always selected. They are also the labels: trees learn from
-binned format and context which candidates look like checked ones, and a candidate whose
-score reaches the threshold is selected too. The threshold is the least score at which the
-candidates of the other half of the documents, chosen by hash, are right as often as
-``precision`` asks. All work on texts is SQL expressions, row by row, without a shuffle;
-what is learned from is a table of at most 2,592 counted cells.
+that passes its check) are always selected. They also stand in for what no check decides:
+features are masked (an address counts as if written plainly, a telephone number without
+its plus and its number of digits), so a checked span looks like a loose one in the same
+place. Right are base spans and candidates that overlap one of their kind; wrong are candidates that
+fail their kind's check or are part of a base span of another kind; all others, which are
+those that may be added, teach nothing and are judged by the trees. Each kind has a
+threshold: the least score at which the labelled candidates of that kind in the other half
+of the documents, chosen by hash, are right as often as ``precision`` asks; without
+any right ones there, the kind adds nothing. All work on texts is SQL expressions, row by row,
+without a shuffle; what is learned from is a table of at most 2,592 counted cells.
 """
 
 from __future__ import annotations
@@ -34,12 +38,13 @@ BASE = {
 }
 #: Looser forms: spelt-out or spaced e-mail addresses, numbers in groups without a country code.
 LOOSE = {
-    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}{{1,64}}+\x20?(?:@|\(at\)|\[at\])\x20?{_LABEL}{{1,63}}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?{_LABEL}{{1,63}}+){{1,8}}+",
+    "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}{{1,64}}+\x20?(?:@|\(at\)|\[at\])\x20?{_LABEL}{{1,63}}+(?:(?:\.|\x20\.\x20|\x20?(?:\(dot\)|\[dot\])\x20?){_LABEL}{{1,63}}+){{1,8}}+",
     "phone": r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){0,4}+(?![0-9])",
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _CUES = r"(?i)(?:mail|contact|reach|write|call|phone|tel|fax|mobile|card|visa|account|pay|ip|host|server|address)\W{0,3}(?:\w+\W{1,2})?$"
-_FEATURES = ["kind", "digits", "gaps", "plus", "before", "cue", "length"]
+_FEATURES = ["kind", "digits", "gaps", "before", "cue", "length"]
+_DATE = r"^(?:(?:19|20)[0-9]{2}([\x20.-])(?:0[1-9]|1[0-2])\1|(?:0[1-9]|[12][0-9]|3[01])([\x20.-])(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2})"
 _BLOCK, _CHUNK = 64, 4096
 
 
@@ -81,6 +86,21 @@ def _passes(kind: str, hit: Column) -> Column:
     return n.between(10, 15)
 
 
+def _fails(kind: str, hit: Column) -> Column:
+    """Whether a match of a loose form can't be of its kind: what no telephone number has for digits,
+    or a date; an address whose last label isn't letters."""
+    if kind == "email":
+        return ~_plain(kind, hit).rlike(r"\.[A-Za-z]{2,24}$")
+    return ~F.length(_digits(hit)).between(10, 15) | hit.rlike(_DATE)
+
+
+def _plain(kind: str, hit: Column) -> Column:
+    """The match as a checked one would look without its mark."""
+    if kind == "email":
+        return F.regexp_replace(F.regexp_replace(F.regexp_replace(hit, r"[(\[]at[)\]]", "@"), r"[(\[]dot[)\]]", "."), r"\x20", "")
+    return F.regexp_replace(hit, r"^\+", "") if kind == "phone" else hit
+
+
 def _bin(x: Column, *tops: int) -> Column:
     out = F.lit(len(tops))
     for i, top in reversed(list(enumerate(tops))):
@@ -98,20 +118,20 @@ def _found(text: Column, kind: str, pattern: str, base: bool, gate: Column) -> C
     def span(p: Column, before: Column) -> Column:
         gap, hit = p["gap"], p["hit"]
         start = before + F.length(gap)
-        last = F.right(gap, F.lit(1))
+        last, plain = F.right(gap, F.lit(1)), _plain(kind, hit)
         bins = {
-            "kind": F.lit(number), "digits": _bin(F.length(_digits(hit)), 0, 6, 9, 13, 16), "gaps": _bin(F.length(F.regexp_replace(hit, r"[^\x20().-]", "")), 0, 2),
-            "plus": F.when(hit.startswith("+"), 1).otherwise(0), "before": F.when(F.length(last) == 0, 0).when(last.rlike(r"[\s]"), 0).when(last.rlike("[A-Za-z0-9]"), 1).otherwise(2),
-            "cue": F.when(F.right(gap, F.lit(32)).rlike(_CUES), 1).otherwise(0), "length": _bin(F.length(hit), 12, 20),
+            "kind": F.lit(number), "digits": F.lit(0) if kind == "phone" else _bin(F.length(_digits(plain)), 0, 6, 9, 13, 16), "gaps": _bin(F.length(F.regexp_replace(plain, r"[^\x20().-]", "")), 0, 2),
+            "before": F.when(F.length(last) == 0, 0).when(last.rlike(r"[\s]"), 0).when(last.rlike("[A-Za-z0-9]"), 1).otherwise(2),
+            "cue": F.when(F.right(gap, F.lit(32)).rlike(_CUES), 1).otherwise(0), "length": _bin(F.length(plain), 12, 20),
         }
-        return F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.length(hit)).alias("end"), (_passes(kind, hit) if base else F.lit(False)).alias("base"), F.struct(*(bins[f].alias(f) for f in _FEATURES)).alias("bins"))
+        return F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.length(hit)).alias("end"), (_passes(kind, hit) if base else F.lit(False)).alias("base"), (~_passes(kind, hit) if base else _fails(kind, hit)).alias("wrong"), F.struct(*(bins[f].alias(f) for f in _FEATURES)).alias("bins"))
 
     def placed(ps: Column) -> Column:
         lengths = F.transform(ps, lambda p: (F.length(p["gap"]) + F.length(p["hit"])).cast("long"))
         return F.zip_with(ps, _prefix(lengths, lambda a, b: a + b), span)
 
     spans = _let(pairs, placed)
-    return F.when(gate, spans).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint,base:boolean,bins:struct<kind:int,digits:int,gaps:int,plus:int,before:int,cue:int,length:int>>>"))
+    return F.when(gate, spans).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint,base:boolean,wrong:boolean,bins:struct<kind:int,digits:int,gaps:int,before:int,cue:int,length:int>>>"))
 
 
 def _overlaps(a: Column, b: Column) -> Column:
@@ -131,37 +151,45 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("pii_base", base).withColumn("pii_more", more).drop("pii_all")
 
 
-def fitted(found: DataFrame, key: Column, precision: float) -> tuple[BoostedTrees, float]:
-    """Trees and a threshold from the counted cells of found. A candidate counts as right if
-    it is a base span, or overlaps one of its kind."""
-    near = F.transform("pii_more", lambda s: F.struct(s["bins"].alias("bins"), F.exists("pii_base", lambda b: (b["kind"] == s["kind"]) & _overlaps(s, b)).alias("right")))
-    rows = found.where(F.size("pii_base") + F.size("pii_more") > 0).select(F.pmod(F.xxhash64(key), F.lit(2)).alias("half"), F.explode(F.concat(F.transform("pii_base", lambda s: F.struct(s["bins"].alias("bins"), F.lit(True).alias("right"))), near)).alias("s"))
+def fitted(found: DataFrame, key: Column, precision: float) -> tuple[BoostedTrees, list[float]]:
+    """Trees from the counted cells of found, and a threshold for each kind. Candidates that no
+    base span and no check decides aren't counted: they are what is judged."""
+
+    def label(s: Column) -> Column:
+        same = F.exists("pii_base", lambda b: (b["kind"] == s["kind"]) & _overlaps(s, b))
+        return F.when(same, True).when(s["wrong"] | F.exists("pii_base", lambda b: _overlaps(s, b)), False)
+
+    stands = F.transform("pii_base", lambda s: F.struct(s["bins"].alias("bins"), F.lit(True).alias("right")))
+    near = F.filter(F.transform("pii_more", lambda s: F.struct(s["bins"].alias("bins"), label(s).alias("right"))), lambda s: s["right"].isNotNull())
+    rows = found.where(F.size("pii_base") + F.size("pii_more") > 0).select(F.pmod(F.xxhash64(key), F.lit(2)).alias("half"), F.explode(F.concat(stands, near)).alias("s"))
     cells = rows.groupBy("half", "s.bins").agg(F.sum(F.col("s.right").cast("long")).alias("right"), F.count("*").alias("n")).collect()
     x = np.array([[r["bins"][f] for f in _FEATURES] for r in cells], int).reshape(-1, len(_FEATURES))
     right, n, half = (np.array([r[c] for r in cells], float) for c in ("right", "n", "half"))
     trees = BoostedTrees(_FEATURES).fit(x[half == 0], right[half == 0], n[half == 0])
-    test = half == 1
-    score, right, n = trees.score(x[test]), right[test], n[test]
-    threshold = 2.0
-    for s in np.unique(score)[::-1]:
-        held = score >= s
-        if right[held].sum() >= precision * n[held].sum():
-            threshold = float(s) - 1e-12
-    return trees, threshold
+    score, thresholds = trees.score(x), []
+    for kind in range(len(KINDS)):
+        test, threshold = (half == 1) & (x[:, 0] == kind), 2.0
+        for s in np.unique(score[test])[::-1]:
+            held = test & (score >= s)
+            if right[held].sum() >= precision * n[held].sum():
+                threshold = float(s) - 1e-12
+        thresholds.append(threshold)
+    return trees, thresholds
 
 
 def spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", precision: float = 0.99, keep_text: bool = True) -> DataFrame:
     """docs with pii_base and pii_spans: arrays of (start, kind, end), sorted; kind counts in KINDS,
     offsets are code points, ends exclusive. pii_spans holds pii_base and what the trees add
-    (candidates that overlap no base span). docs with their candidates are written once,
+    (candidates that overlap no base span and don't fail their kind's check). docs with their candidates are written once,
     without the texts if keep_text is false.
 
     Null and empty texts have none; rows that repeat are judged one by one; an empty table
     gives an empty one; columns of these names are replaced, all others are kept."""
     found = candidates(docs.drop("pii_base", "pii_more", "pii_all", "pii_spans"), text)
     found = written(found if keep_text else found.drop(text), "pii-candidates")
-    trees, threshold = fitted(found, F.col(doc_id), precision)
-    chosen = F.filter("pii_more", lambda s: (trees.column(s["bins"]) >= threshold) & ~F.exists("pii_base", lambda b: _overlaps(s, b)))
+    trees, thresholds = fitted(found, F.col(doc_id), precision)
+    least = F.array(*map(F.lit, thresholds))
+    chosen = F.filter("pii_more", lambda s: ~s["wrong"] & (trees.column(s["bins"]) >= F.get(least, s["kind"])) & ~F.exists("pii_base", lambda b: _overlaps(s, b)))
 
     def bare(a: Column) -> Column:
         return F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))

@@ -6,7 +6,7 @@ import random
 import duckdb
 import pytest
 
-from scholium.llm import substrings
+from scholium.llm import pii, substrings
 from scholium.llm.queries import ORACLE_SQL, QUERIES
 
 from . import brute
@@ -48,6 +48,19 @@ def test_op1(spark, where):
         assert all(0 <= int(s) < int(e) <= len(texts[r["doc_id"]]) for _, s, e in every)
 
 
+def test_op1_adds_what_no_base_pattern_matches(spark):
+    """A spelt-out address and a national number where checked ones stand; not a date, nor a run of numbers of other length."""
+    loose = {"email": "bob (at) corp (dot) com", "phone": "030-1234-5678"}
+    checked = [f"Please write to jane{i}@mail.example.org or call +49 170 12345{i:02d} soon." for i in range(60)]
+    other = [f"On the 2024-01-{i % 28 + 1:02d} 10 11 we saw 100 200 {300 + i} of them." for i in range(60)]
+    texts = [*checked, *other, f"Please write to {loose['email']} soon.", f"Please call {loose['phone']} soon.", "Please call 555 123 4567 soon."]
+    rows = {r.doc_id: r for r in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    added = {texts[i][int(s) : int(e)]: k for i in range(120, 123) for k, s, e in (x.split(":") for x in rows[i].spans.split(",") if x)}
+    assert added == {loose["email"]: "email", loose["phone"]: "phone", "555 123 4567": "phone"}
+    assert not any(rows[i].spans for i in range(60, 120))
+    assert all(rows[i].n_email == rows[i].n_phone == 1 for i in range(60))
+
+
 def test_op2(spark, where):
     wanted = [(r.page_id, *brute.url_parts(r.url)) for r in spark.read.parquet(f"{where}/pages.parquet").collect()]
     rows = got(spark, where, "op2_url_filter")
