@@ -6,9 +6,12 @@ contexts of 0 to 4 characters, over all such URLs, smoothed from order to order
 Witten-Bell's weights. A URL without a rule is judged by the difference of its two mean
 log-likelihoods per character against a threshold calibrated on the rules' own verdicts.
 
-Characters fall into 40 classes, and contexts of three and four into 8,192 cells each, so
-a model has at most 18,025 contexts and both take 6 MB, whatever the number of URLs. Counts
-are summed within each Arrow batch before they are shuffled.
+Characters fall into 40 classes, and every context is a cell of its own: 2,625,641 at most.
+Counts of contexts up to three characters lie in a full table (21 MB), those of four in a
+sorted table of what occurs: 12 bytes for each context and next class that some ruled URL
+holds, and 20 for each context, so its size follows the variety of URLs, not their number
+(1.3 GB if every one of 102,400,000 occurred). Counts are summed within each Arrow batch
+before they are shuffled.
 """
 
 from __future__ import annotations
@@ -20,14 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import Carried, written
-from ._text import buffer_of, mixed, with_columns
+from ._text import buffer_of, with_columns
 
 #: (host, path, verdict), as the contract gives them.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 ORDER, SYMBOLS = 4, 40
-_CELLS = [1, SYMBOLS, SYMBOLS**2, 8192, 8192]
-_BASE = np.concatenate([[0], np.cumsum(_CELLS)])
-CONTEXTS = int(_BASE[-1])
+_BASE = np.concatenate([[0], np.cumsum([SYMBOLS**k for k in range(ORDER + 1)])])
+#: Contexts under this number are counted in a full table, those from it on in a sorted one.
+DENSE = int(_BASE[ORDER])
 _BINS = 400
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,17 +72,12 @@ def _contexts(urls: pa.Array) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     for k in range(1, ORDER + 1):
         before = np.concatenate([np.zeros(min(k, len(c)), np.int64), c[:-k] if k < len(c) else c[:0]])[: len(c)]
         value, ok = value * SYMBOLS + before, into >= k
-        cell = value if k < 3 else (_spread(value, k) % np.uint64(_CELLS[k])).astype(np.int64)
-        out.append(np.where(ok, _BASE[k] + cell, -1))
+        out.append(np.where(ok, _BASE[k] + value, -1))
     return text, c, out
 
 
-def _spread(value: np.ndarray, seed: int) -> np.ndarray:
-    return mixed(value.astype(np.uint64) + np.uint64(seed << 40))
-
-
 def counted(urls: DataFrame, url: str, blocked: str) -> DataFrame:
-    """(cell, n): how often a class follows a context in accepted (even) and blocked (odd) URLs."""
+    """(cell, accepted, blocked): how often a class follows a context in accepted and in blocked URLs."""
 
     def run(batches):
         for batch in batches:
@@ -87,20 +85,35 @@ def counted(urls: DataFrame, url: str, blocked: str) -> DataFrame:
             side = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[text]
             cells = np.concatenate([((x * SYMBOLS + c) * 2 + side)[x >= 0] for x in contexts]) if len(c) else np.zeros(0, np.int64)
             cell, n = np.unique(cells, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((cell // 2).astype(np.int32)), pa.array(np.where(cell % 2, 0, n)), pa.array(np.where(cell % 2, n, 0))], ["cell", "accepted", "blocked"])
 
-    return urls.select(url, F.col(blocked).cast("int")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    found = urls.select(url, F.col(blocked).cast("int")).mapInArrow(run, "cell int, accepted long, blocked long")
+    return found.groupBy("cell").agg(*(F.sum(x).cast("float").alias(x) for x in ("accepted", "blocked")))
 
 
 class UrlModels:
-    """Log probabilities of classes after contexts, for accepted and blocked URLs."""
-
-    def __init__(self, cells: np.ndarray, n: np.ndarray):
-        counts = np.zeros((CONTEXTS * SYMBOLS * 2), np.float32)
-        counts[cells] = n
-        counts = counts.reshape(CONTEXTS, SYMBOLS, 2)
-        self.counts = counts
-        self.total, self.kinds = counts.sum(axis=1), (counts > 0).sum(axis=1).astype(np.float32)
+    """Log probabilities of classes after contexts, for accepted and blocked URLs. The cells may come in any order."""
+
+    def __init__(self, cells: np.ndarray, counts: np.ndarray):
+        low = cells < DENSE * SYMBOLS
+        full = np.zeros((DENSE * SYMBOLS, 2), np.float32)
+        full[cells[low]] = counts[low]
+        self.counts = full.reshape(DENSE, SYMBOLS, 2)
+        self.total, self.kinds = self.counts.sum(axis=1), (self.counts > 0).sum(axis=1).astype(np.float32)
+        order = np.flatnonzero(~low)
+        order = order[np.argsort(cells[order])]
+        self.cells, self.cell_counts = cells[order].astype(np.int32), counts[order]
+        contexts = self.cells // SYMBOLS
+        heads = np.flatnonzero(np.diff(contexts, prepend=-1))
+        self.contexts = contexts[heads]
+        sums = lambda x: np.add.reduceat(x, heads, axis=0, dtype=np.float32) if len(heads) else np.zeros((0, 2), np.float32)
+        self.context_total, self.context_kinds = sums(self.cell_counts), sums(self.cell_counts > 0)
+
+    def _after(self, context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(count of the class, kinds, total) after contexts of one order; zeros after unseen ones."""
+        if not len(context) or context[0] < DENSE:
+            return self.counts[context, c], self.kinds[context], self.total[context]
+        return _looked_up(self.cells, context * SYMBOLS + c, self.cell_counts), *_looked_up(self.contexts, context, self.context_kinds, self.context_total)
 
     def score(self, urls: pa.Array) -> np.ndarray:
         """Mean log-likelihood per character if accepted less that if blocked; 0 for no characters."""
@@ -108,12 +121,25 @@ class UrlModels:
         p = np.full((len(c), 2), 1.0 / SYMBOLS)
         for x in contexts:  # from the shortest context up: p = (count + kinds * p_shorter) / (total + kinds)
             on = np.flatnonzero(x >= 0)
-            k, total = self.kinds[x[on]], self.total[x[on]]
-            p[on] = np.where(total > 0, (self.counts[x[on], c[on]] + k * p[on]) / np.maximum(total + k, 1), p[on])
+            n, k, total = self._after(x[on], c[on])
+            p[on] = np.where(total > 0, (n + k * p[on]) / np.maximum(total + k, 1), p[on])
         sums = np.bincount(text, np.log(p[:, 0]) - np.log(p[:, 1]), minlength=len(urls))
         return sums / np.maximum(np.bincount(text, minlength=len(urls)), 1)
 
 
+def _looked_up(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> np.ndarray | list[np.ndarray]:
+    """The values at wanted keys of a sorted table, 0 where there is none."""
+    at = np.searchsorted(keys, wanted.astype(np.int32))
+    there = np.flatnonzero(at < len(keys))
+    there = there[keys[at[there]] == wanted[there]]
+    out = []
+    for v in values:
+        x = np.zeros((len(wanted), 2), np.float32)
+        x[there] = v[at[there]]
+        out.append(x)
+    return out if len(out) > 1 else out[0]
+
+
 def judged(pages: DataFrame, *, url: str = "url", keep: list[str] | None = None, rules=RULES) -> DataFrame:
     """pages (its columns keep, or all) with host, path, rule, score (of the models) and verdict.
 
@@ -127,8 +153,8 @@ def judged(pages: DataFrame, *, url: str = "url", keep: list[str] | None = None,
     ruled = base.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
     ruled = ruled.withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
     known = ruled.where(F.col("by_rule").isNotNull()).withColumn("blocked", F.col("by_rule.verdict") == "block")
-    cells = counted(known, url, "blocked").toArrow()  # CONTEXTS * SYMBOLS * 2 rows of 16 bytes at most
-    models = UrlModels(cells.column("cell").to_numpy(), cells.column("n").to_numpy().astype(np.float32))
+    cells = counted(known, url, "blocked").toArrow()  # rows of 12 bytes
+    models = UrlModels(cells.column("cell").to_numpy(), np.stack([cells.column(x).to_numpy() for x in ("accepted", "blocked")], axis=1))
     held = pages.sparkSession.sparkContext.broadcast(Carried(models))
     scored = with_columns(ruled, url, [T.StructField("score", T.DoubleType())], lambda batch: [held.value.score(batch.column(batch.schema.get_field_index(url)))])
     scored = written(scored, "url-scores")

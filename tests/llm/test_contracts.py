@@ -1,12 +1,13 @@
 """Every contract query against a plain version, on given and on odd tables."""
 
+import math
 import os
 import random
 
 import duckdb
 import pytest
 
-from scholium.llm import pii, substrings
+from scholium.llm import pii, substrings, url_filter
 from scholium.llm.queries import ORACLE_SQL, QUERIES
 
 from . import brute
@@ -68,6 +69,37 @@ def test_op2(spark, where):
     same([(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"] if r["rule"] else None) for r in rows], wanted)
 
 
+def test_op2_contexts_stay_apart(spark):
+    """On varied URLs, scores are those of a plain Witten-Bell model with a cell for every context."""
+    rng = random.Random(2)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0-./_?") for _ in range(n))
+    urls = [(f"http://x.com/{say(400)}", 0) for _ in range(150)] + [(f"http://x.net/es/{say(400)}", 1) for _ in range(150)]
+    plain = {}
+    classes = lambda u: [int(url_filter._CLASS[x]) for x in u.encode()]
+    for u, b in urls:
+        c = classes(u)
+        for i, x in enumerate(c):
+            for k in range(min(i, 4) + 1):
+                seen = plain.setdefault((b, *c[i - k : i]), {})
+                seen[x] = seen.get(x, 0) + 1
+
+    def mean(u):
+        c, total = classes(u), 0.0
+        for b, sign in ((0, 1), (1, -1)):
+            for i, x in enumerate(c):
+                p = 1 / url_filter.SYMBOLS
+                for k in range(min(i, 4) + 1):
+                    if seen := plain.get((b, *c[i - k : i])):
+                        p = (seen.get(x, 0) + len(seen) * p) / (sum(seen.values()) + len(seen))
+                total += sign * math.log(p)
+        return total / len(c)
+
+    pages = [u for u, _ in urls] + [f"http://y.org/{say(60)}", "h", ""]
+    rows = url_filter.judged(spark.createDataFrame([(u,) for u in pages], "url string")).collect()
+    got, some = {r.url: r.score for r in rows}, [*pages[:3], *pages[-6:-1]]
+    assert [got[u] for u in some] == pytest.approx([*map(mean, some)], abs=1e-5) and got[""] == 0
+
+
 def test_op3(spark, where):
     wanted = [(i, *brute.quality_counts(t)) for i, t in documents(spark, where)]
     rows = got(spark, where, "op3_quality_rules")
