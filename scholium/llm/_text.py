@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._xxh64 import xxh64
+
 #: Texts are worked on in pieces of about so many bytes; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 21
 
@@ -34,7 +36,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 class RollingHash:
-    """Hashes of all runs of a sequence by prefix sums of v[i] * base**i modulo 2**64."""
+    """Hashes of all runs of a sequence by prefix sums of v[i] * base**i modulo 2**64.
+
+    Good for short runs of values that are spread themselves, like word hashes; of long runs of two
+    values some collide under every base, so words are hashed by word_hashes."""
 
     def __init__(self, seed: int):
         self.base = int(mixed(np.array([seed * 2 + 1], np.uint64))[0]) | 1
@@ -58,6 +63,21 @@ class RollingHash:
         return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each byte range: of up to 8 bytes those bytes themselves, spread; of up to 16 their
+    first and last eight; of longer ones XXH64."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded, n = np.concatenate([buf, np.zeros(8, np.uint8)]), end - start
+    u64 = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))
+    head = u64[start] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (64 - 8 * np.minimum(n, 8)).astype(np.uint64))
+    tail = np.where(n > 8, u64[np.maximum(end - 8, start)], np.uint64(0))
+    out = mixed(mixed(head + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) ^ (tail * np.uint64(0xD6E8FEB86659FD93) + n.astype(np.uint64)))
+    if len(long := np.flatnonzero(n > 16)):
+        out[long] = xxh64(buf, start[long], end[long], seed)
+    return out
+
+
 class Words:
     """The words of some texts: byte ranges in buf, and each text's range of words."""
 
@@ -86,8 +106,8 @@ class Words:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self, hasher: RollingHash) -> np.ndarray:
-        return hasher.runs(hasher.bytes[self.buf], self.start, self.end)
+    def hashes(self, seed: int) -> np.ndarray:
+        return word_hashes(self.buf, self.start, self.end, seed)
 
     def windows(self, length: int) -> np.ndarray:
         """First words of all windows of so many words of one text."""

@@ -41,7 +41,7 @@ class WindowSet:
             length = min(window, len(w))
             if length:
                 at = w.windows(length)
-                found[length].append(hasher.runs(w.hashes(hasher), at, at + length))
+                found[length].append(hasher.runs(w.hashes(5), at, at + length))
                 for i in at:
                     self.items[w.joined(i, i + length)].add(name)
         self.hashes = {k: np.unique(np.concatenate(v)) for k, v in found.items()}
@@ -53,7 +53,7 @@ class WindowSet:
         """Word counts, and (text, first word, end, items) of every occurring window."""
         hasher = _hasher()
         w = words_of(texts, ALNUM, lower=True)
-        h, at_text, hits = w.hashes(hasher), w.text_of_word(), []
+        h, at_text, hits = w.hashes(5), w.text_of_word(), []
         for length, known in self.hashes.items():
             at = w.windows(length)
             runs = hasher.runs(h, at, at + length)

@@ -10,8 +10,12 @@ occur the same symbol does.
 A window of 35 words is known by one symbol that the window's own words decide, of the
 highest round that has one in it. Round one counts these symbols over all blocks of
 documents: a window whose symbol is nowhere else has no copy. Round two counts the windows
-whose symbol is shared, by 128 bits of hash over their words, which verifies them. Both
-rounds ask about each distinct key once per block, so copies don't pile up anywhere.
+whose symbol is shared, by 128 bits of hash: two sums, with powers of two bases, over the
+35 words' own hashes of different seeds (no hash sees more than 35 values in a row, so
+none of the long runs that collide under every base can occur). Both
+rounds ask about each distinct key once per block, so copies don't pile up anywhere. What a
+block notes for itself between rounds is by the place of a window in the block, whose rows are
+always in the order of their keys.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._exchange import QUESTIONS, Exchange, pack, pack_sorted, questions_table, unpack
+from ._exchange import QUESTIONS, Exchange, grouped, pack, pack_sorted, questions_table
 from ._text import NOT_SPACE, RollingHash, Words, mixed, words_of
 
 WINDOW, ROUNDS, LONGEST = 35, 6, 12
@@ -133,20 +137,14 @@ def representatives(h: np.ndarray, text: np.ndarray, at: np.ndarray, window: int
     return name, place
 
 
-def _shared_bits(keys: list[np.ndarray], extra: list[bytes]) -> list[bytes]:
-    """For each block's keys, with extra as second halves if there are any, the bits of those that others have too."""
-    one = np.concatenate(keys)
-    if extra[0]:
-        two = np.concatenate([unpack(x) for x in extra])
-        order = np.lexsort((two, one))
-        new = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
-        group = np.cumsum(new) - 1
-        shared = np.empty(len(one), bool)
-        shared[order] = (np.bincount(group) > 1)[group]
-    else:
-        _, of, n = np.unique(one, return_inverse=True, return_counts=True)
-        shared = (n > 1)[of]
-    return [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum([len(k) for k in keys])[:-1])]
+def _shared(n: np.ndarray) -> bytes:
+    """The bits of the keys that are counted more than once."""
+    return np.packbits(n > 1).tobytes()
+
+
+def _counts(bits: bytes, n: int) -> np.ndarray:
+    """1 or 2 for each of n keys."""
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(np.uint64) + np.uint64(1)
 
 
 class _Block:
@@ -158,7 +156,7 @@ class _Block:
 
     def symbols(self, window: int):
         """Distinct symbol names, which windows have which, and the names that two places of the block share."""
-        name, place = representatives(self.words.hashes(_hasher(21)), self.words.text_of_word(), self.at, window)
+        name, place = representatives(self.words.hashes(21), self.words.text_of_word(), self.at, window)
         keys, of = np.unique(name, return_inverse=True)
         once = np.unique(np.stack([of, place], axis=1), axis=0)[:, 0] if len(of) else of
         return keys, of, np.bincount(once, minlength=len(keys)) > 1
@@ -166,16 +164,10 @@ class _Block:
     def windows(self, chosen: np.ndarray, window: int):
         """Distinct hashes of the chosen windows (two halves), which window has which, and those that the block repeats."""
         at = self.at[chosen]
-        one = _hasher(22).runs(self.words.hashes(_hasher(21)), at, at + window)
-        two = _hasher(23).runs(self.words.hashes(_hasher(24)), at, at + window)
-        order = np.lexsort((two, one))
-        a, b = one[order], two[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        group = np.cumsum(new) - 1
-        of = np.empty(len(a), np.int64)
-        of[order] = group
-        return a[new], b[new], of, np.bincount(group, minlength=int(new.sum())) > 1
+        one = _hasher(22).runs(self.words.hashes(21), at, at + window)
+        two = _hasher(23).runs(self.words.hashes(24), at, at + window)
+        first, of = grouped(one, two)
+        return one[first], two[first], of, np.bincount(of, minlength=len(first)) > 1
 
 
 def _bits(answers: dict[int, bytes], counts: np.ndarray) -> np.ndarray:
@@ -205,14 +197,15 @@ class _Note:
         return cls(numbers[:n_parts], numbers[n_parts:][np.cumsum(heads) - 1] if n else numbers[:0], twice)
 
 
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, **sizes_of_blocks) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (the kept words, joined by one space) of every document.
 
     Removed are the words of every window that also starts elsewhere, in the same or another
     document, judged on the input. Words lie between spaces and 0x09-0x0D. Null and empty
     texts, and those shorter than a window, lose nothing (null: no words, empty kept_text);
-    rows that repeat are copies of each other; an empty table gives an empty one. Only the two columns are read."""
-    ex = Exchange(docs, doc_id, text)
+    rows that repeat are copies of each other; an empty table gives an empty one. A very long text is
+    worked on whole, with its block: memory of some 40 times its bytes. Only the two columns are read."""
+    ex = Exchange(docs, doc_id, text, **sizes_of_blocks)
 
     def sizes(keys: np.ndarray) -> np.ndarray:
         return np.array([s.stop - s.start for _, s in ex.split(keys)], int)
@@ -222,8 +215,8 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         if not len(b.at):
             return questions_table([])
         keys, of, twice = b.symbols(window)
-        note = (-1 - block, block, _Note(sizes(keys), of, twice).packed(), b"")
-        return questions_table([note, *((p, block, pack_sorted(keys[s]), b"") for p, s in ex.split(keys))])
+        note = (-1 - block, block, _Note(sizes(keys), of, twice).packed(), b"", b"")
+        return questions_table([note, *((p, block, pack_sorted(keys[s]), b"", b"") for p, s in ex.split(keys))])
 
     def verify(block: int, rows: pa.Table, answers: dict[int, bytes]) -> pa.Table:
         if -1 - block not in answers:
@@ -232,12 +225,12 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         chosen = (known.twice | _bits(answers, known.counts))[known.of]
         if not chosen.any():
             return questions_table([])
-        one, two, _, _ = _Block(rows.column("text"), window).windows(np.flatnonzero(chosen), window)
-        note = (-1 - block, block, np.packbits(chosen).tobytes(), b"")
-        return questions_table([note, *((p, block, pack_sorted(one[s]), pack(two[s])) for p, s in ex.split(one))])
+        one, two, _, _ = _Block(rows.column("text").combine_chunks(), window).windows(np.flatnonzero(chosen), window)
+        note = (-1 - block, block, np.packbits(chosen).tobytes(), b"", b"")
+        return questions_table([note, *((p, block, pack_sorted(one[s]), pack(two[s]), b"") for p, s in ex.split(one))])
 
     def settle(block: int, rows: pa.Table, answers: dict[int, bytes]) -> pa.Table:
-        b = _Block(rows.column("text"), window)
+        b = _Block(rows.column("text").combine_chunks(), window)
         gone = np.zeros(len(b.words) + 1, np.int64)
         if -1 - block in answers:
             chosen = np.flatnonzero(np.unpackbits(np.frombuffer(answers[-1 - block], np.uint8), count=len(b.at)))
@@ -248,9 +241,9 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         gone = np.cumsum(gone)[:-1] > 0
         return pa.table({"doc_id": rows.column("doc_id"), "n_words": pa.array(b.words.counts, pa.int64()), "n_removed": pa.array(np.bincount(b.words.text_of_word(), gone, minlength=rows.num_rows).astype(np.int64)), "kept_text": pa.array(_kept(b.words, gone), pa.string())})
 
-    verified = ex.met(ex.answers(ex.asked(ask), _shared_bits), verify, QUESTIONS)
+    verified = ex.met(ex.answers(ex.asked(ask), _shared, _counts), verify, QUESTIONS)
     kind = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
-    return ex.met(ex.answers(verified, _shared_bits), settle, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
+    return ex.met(ex.answers(verified, _shared, _counts), settle, f"doc_id {kind}, n_words long, n_removed long, kept_text string")
 
 
 def _kept(w: Words, gone: np.ndarray) -> list[str]:

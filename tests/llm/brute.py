@@ -1,6 +1,7 @@
 """Plain Python versions of the contract queries, for small inputs."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -124,3 +125,18 @@ def components(rows, distance=3):
     for i, f in rows:
         least[find(f)] = min(i, least.get(find(f), i))
     return {i: least[find(f)] for i, f in rows}
+
+
+def lm_scores(docs, alpha=0.4, order=2, own=1):
+    """docs: texts. Yields (n_words, log10 score) by stupid backoff over the texts' own counts, less own."""
+    every = [WORD.findall((t or "").translate(UPPER)) for t in docs]
+    n = Counter(tuple(w[i : i + k]) for w in every for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    total = sum(map(len, every))
+
+    def score(gram):
+        if len(gram) == 1:
+            return max(n[gram] - own, 1) / max(total - own, 1)
+        return (n[gram] - own) / (n[gram[:-1]] - own) if n[gram] - own > 0 else alpha * score(gram[1:])
+
+    for w in every:
+        yield len(w), sum(math.log10(score(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w)))

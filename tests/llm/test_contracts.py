@@ -7,7 +7,7 @@ import random
 import duckdb
 import pytest
 
-from scholium.llm import pii, substrings, url_filter
+from scholium.llm import lm, pii, substrings, url_filter
 from scholium.llm.queries import ORACLE_SQL, QUERIES
 
 from . import brute
@@ -109,6 +109,17 @@ def test_op3(spark, where):
         assert r["base_failed"] == failed and not (failed and r["kept"])
 
 
+@pytest.mark.parametrize("options", [{}, {"order": 3}, {"own": 0}, {"order": 1}, {"fan": 2, "block_bytes": 9_000, "part_bytes": 20_000}, {"fan": 3, "block_bytes": 2_000, "order": 3}])
+def test_op4(spark, where, options):
+    """Plain counts at every order; small fans give merged levels of questions."""
+    docs = documents(spark, where)
+    plain = brute.lm_scores([t for _, t in docs], **{k: v for k, v in options.items() if k in ("order", "own")})
+    wanted = sorted(((i or -1, *x) for (i, _), x in zip(docs, plain, strict=True)))
+    rows = sorted((r.doc_id or -1, r.n_words, r.log_score) for r in lm.scores(spark.read.parquet(f"{where}/documents.parquet"), **options).collect())
+    assert [r[:2] for r in rows] == [r[:2] for r in wanted]
+    assert [r[2] for r in rows] == pytest.approx([r[2] for r in wanted], rel=1e-9)
+
+
 def test_op5(spark, where):
     docs = documents(spark, where)
     items = [(r.item_id if r.item_id is not None else "", r.text) for r in spark.read.parquet(f"{where}/benchmark.parquet").collect()]
@@ -120,6 +131,22 @@ def test_op8(spark, where):
     same(got(spark, where, "op8_substring_dedup"), [(i, *x) for (i, _), x in zip(docs, brute.substrings([t for _, t in docs]), strict=True)])
 
 
+def test_op8_in_merged_levels(spark, where):
+    docs = documents(spark, where)
+    rows = substrings.deduplicated(spark.read.parquet(f"{where}/documents.parquet"), fan=2, block_bytes=9_000, part_bytes=20_000).collect()
+    same([(r.doc_id, r.n_words, r.n_removed, brute.sha(r.kept_text)) for r in rows], [(i, *x) for (i, _), x in zip(docs, brute.substrings([t for _, t in docs]), strict=True)])
+
+
+def test_op8_tells_words_apart_that_sums_of_powers_do_not(spark):
+    """Long words of two letters whose polynomial hashes agree modulo 2**64 under every odd base."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    texts = [" ".join([x, *(f"w{i}" for i in range(34))]) for x in (a, b)]
+    rows = substrings.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.n_removed for r in rows] == [0, 0]
+
+
 @pytest.mark.parametrize("letters", [2, 3, 40])
 def test_op8_on_random_passages(spark, letters):
     rng = random.Random(letters)
