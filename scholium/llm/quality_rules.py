@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ._store import written
 from .mixing import SPACES
 
-WINDOW = 5
+WINDOW, HELD = 5, 0.5
 _COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks"]
 #: Rules by name: the ratio they look at, the value above which they vote bad, and that up to which they vote good.
 RULES = {
@@ -95,21 +95,27 @@ class VoteModel:
         self.prior, self.chances = prior, chances
 
     @classmethod
-    def fit(cls, votes: np.ndarray, n: np.ndarray, rounds: int = 100) -> "VoteModel":
-        """votes: patterns by rules; n: how many documents vote so. At the start a bad
-        vote is rare on good texts, and a good vote says little, since most bad texts fail few rules; a twentieth of the documents go on counting so, which
-        keeps a rule's meaning from turning round."""
-        k = votes.shape[1]
-        share = np.array([[((votes[:, j] == v) * n).sum() + 1 for v in (-1, 0, 1)] for j in range(k)])
-        share = share / share.sum(axis=1, keepdims=True)
-        tilt = np.array([[0.1, 1, 1.0], [10, 1, 0.9]])  # on good, on bad
-        start = np.stack([share * t for t in tilt])
-        start /= start.sum(axis=2, keepdims=True)
-        model, held = cls(0.8, start), 0.05 * n.sum() + 1
-        for _ in range(rounds if len(n) else 0):
+    def fit(cls, votes: np.ndarray, n: np.ndarray, held: float = HELD, rounds: int = 10_000) -> "VoteModel":
+        """votes: patterns by rules; n: how many documents vote so. At the start a pattern with a bad
+        vote is good one time in ten, any other 19 in 20; held times all documents go on counting so, which
+        keeps a rule's meaning from turning round. All smoothing is in proportion to the documents, so tables
+        of the same shares give the same verdicts at every size. Rounds end when nothing changes."""
+        every = float(n.sum())
+        if not every:
+            return cls(0.9, np.full((2, votes.shape[1], 3), 1 / 3))
+        cast = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
+
+        def chances(good: np.ndarray, more) -> np.ndarray:
+            counted = np.stack([np.einsum("i,ijv->jv", w, cast) for w in (good, n - good)]) + every / 3000 + more
+            return counted / counted.sum(axis=2, keepdims=True)
+
+        first = np.where((votes == -1).any(axis=1), 0.1, 0.95) * n
+        model = start = cls(first.sum() / every, chances(first, 0.0))
+        for _ in range(rounds):
             good = model.posterior(votes) * n
-            counted = np.stack([[[(w * (votes[:, j] == v)).sum() for v in (-1, 0, 1)] for j in range(k)] for w in (good, n - good)]) + held * start
-            model = cls(float((good.sum() + 4) / (n.sum() + 5)), counted / counted.sum(axis=2, keepdims=True))
+            before, model = model, cls((good.sum() + held * every * start.prior) / (every * (1 + held)), chances(good, held * every * start.chances))
+            if np.abs(model.chances - before.chances).max() < 1e-9:
+                break
         return model
 
     def weights(self) -> np.ndarray:
@@ -138,7 +144,8 @@ def judged(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least
     base_failed: under 10 words, or over a fifth of the words in repeated windows; such a
     document is not kept, any other is if p_good reaches least. Null and empty texts have no
     words and so fail; rows that repeat are judged one by one; an empty table gives an empty
-    one. Only the two columns are read, so others may have any name."""
+    one. A very long text is one row of one task, its words and windows arrays in memory, and repeats cost a sort of them.
+    Only the two columns are read, so others may have any name."""
     stats = counts(docs, doc_id=doc_id, text=text)
     stats = written(stats.withColumn("votes", _votes({c: F.col(c) for c in _COUNTS})), "quality-counts")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

@@ -5,9 +5,10 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
-from scholium.llm import lm, pii, substrings, url_filter
+from scholium.llm import lm, pii, quality_rules, substrings, url_filter
 from scholium.llm.queries import ORACLE_SQL, QUERIES
 
 from . import brute
@@ -109,6 +110,25 @@ def test_op3(spark, where):
         assert r["base_failed"] == failed and not (failed and r["kept"])
 
 
+@pytest.mark.parametrize("size", ["0.001", "0.01", "0.1"])
+def test_op3_rejects_junk_at_every_size(spark, size):
+    """Of labelled documents that the base rules leave, junk goes and good ones stay, whatever the table's size."""
+    d = f"/root/testdata/sf{size}"
+    truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [(r["kept"], truth[r["doc_id"]]) for r in got(spark, d, "op3_quality_rules") if not r["base_failed"] and r["doc_id"] in truth]
+    bad, good = [k for k, y in rows if y == 0], [k for k, y in rows if y == 1]
+    assert bad and 1 - sum(bad) / len(bad) > 0.95, (len(bad), sum(bad))
+    assert sum(good) / len(good) > 0.99
+
+
+def test_op3_votes_weigh_alike_at_every_size():
+    votes = np.array([[1, 1, 1], [-1, 1, 1], [1, 0, 1], [-1, -1, 0]])
+    n = np.array([900, 70, 25, 5])
+    small, large = (quality_rules.VoteModel.fit(votes, n * k) for k in (0.1, 1000))
+    assert small.posterior(votes) == pytest.approx(large.posterior(votes), abs=1e-6)
+    assert (large.posterior(votes) > 0.5).tolist() == [True, False, True, False]
+
+
 @pytest.mark.parametrize("options", [{}, {"order": 3}, {"own": 0}, {"order": 1}, {"fan": 2, "block_bytes": 9_000, "part_bytes": 20_000}, {"fan": 3, "block_bytes": 2_000, "order": 3}])
 def test_op4(spark, where, options):
     """Plain counts at every order; small fans give merged levels of questions."""
