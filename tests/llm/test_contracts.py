@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from scholium.llm import lm, pii, quality_rules, substrings, url_filter
+from scholium.llm import decontaminate, lm, pii, quality_rules, substrings, url_filter
 from scholium.llm.queries import ORACLE_SQL, QUERIES
 
 from . import brute
@@ -146,6 +146,16 @@ def test_op5(spark, where):
     same(got(spark, where, "op5_decontaminate"), [(i, *x) for (i, _), x in zip(docs, brute.contaminated(docs, items), strict=True)])
 
 
+@pytest.mark.parametrize("bits", [28, 15])
+def test_op5_with_a_benchmark_too_large_for_a_broadcast(spark, where, bits):
+    """The joined form gives the same, whether the bitmap is sparse or full; docs' own columns stay."""
+    docs, bench = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/benchmark.parquet")
+    rows = [decontaminate.judged(decontaminate.find(docs, bench, block_bytes=b, bitmap_bits=bits)) for b in (1 << 30, 0)]
+    assert rows[0].columns == rows[1].columns and rows[0].dtypes == rows[1].dtypes
+    one, two = (sorted((repr(r) for r in df.collect())) for df in rows)
+    assert one == two and len(one) == docs.count()
+
+
 def test_op8(spark, where):
     docs = documents(spark, where)
     same(got(spark, where, "op8_substring_dedup"), [(i, *x) for (i, _), x in zip(docs, brute.substrings([t for _, t in docs]), strict=True)])
