@@ -94,10 +94,24 @@ def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == rest, F.lit(True))
 
 
-def drawn(df: DataFrame, key: str, at_most: int) -> DataFrame:
-    """df, or about at_most of its rows, chosen by a hash of key: the same in every run."""
-    n = df.count()
-    return df if n <= at_most else df.where(F.pmod(F.xxhash64(F.col(key), F.lit("drawn")), F.lit(1 << 30)) < int(at_most / n * (1 << 30)))
+def drawn(labelled: DataFrame, text: str, bounds: dict[int, tuple[int, int]]) -> DataFrame:
+    """labelled(of, y, text), or of each class y that has bounds (rows, bytes of text) about so many
+    at most, chosen by a hash of the id and the row: rows that repeat, or share an id, are drawn one by one."""
+    sizes = {r.y: (r.n, r.size) for r in labelled.groupBy("y").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("size")).collect()}
+    shares = {y: min(1.0, rows / max(1, sizes[y][0]), size / max(1, sizes[y][1])) for y, (rows, size) in bounds.items() if y in sizes}
+    shares = {y: int(x * (1 << 30)) for y, x in shares.items() if x < 1}
+    if not shares:
+        return labelled
+    place, most = F.pmod(F.xxhash64("of", F.monotonically_increasing_id(), F.lit("drawn")), F.lit(1 << 30)), F.lit(1 << 30)
+    for y, share in shares.items():
+        most = F.when(F.col("y") == y, share).otherwise(most)
+    return labelled.withColumn("drawn_at", place).where(F.col("drawn_at") < most).drop("drawn_at")
+
+
+def of_ids(known: DataFrame, at_most: int) -> DataFrame:
+    """known(of, y), or about at_most of its ids, chosen by a hash: a bound for a broadcast."""
+    n = known.count()
+    return known if n <= at_most else known.where(F.pmod(F.xxhash64("of", F.lit("id")), F.lit(1 << 30)) < int(at_most / n * (1 << 30)))
 
 
 class Sample:

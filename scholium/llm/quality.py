@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 
 from . import _features as X
 
-#: At most about so many labelled texts of each class are learnt from.
-PER_CLASS, CUT = 8_000, 0.3
-#: Features of fewer sampled texts are not learnt.
-LEAST = 5
+#: At most about so many labelled texts, and bytes of them, of each class are learnt from.
+PER_CLASS, BYTES, CUT = 8_000, 32 << 20, 0.3
 
 
 def log_count_ratios(sample: X.Sample, good: np.ndarray, alpha: float = 1.0) -> np.ndarray:
@@ -65,19 +63,21 @@ def train(sample: X.Sample, *, c: float = 1.0) -> tuple[np.ndarray, float]:
     return w * ratios, b
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 5, rest: int = 0, per_class: int = PER_CLASS) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 5, rest: int = 0, per_class: int = PER_CLASS, class_bytes: int = BYTES) -> DataFrame:
     """docs with held_out, score and predicted.
 
     Rows of labels that share an id are one, good if all say so; null labels and ids are
     left out. Null and empty texts have no n-grams but their length. Without labels of both
     classes all scores are alike. Rows that repeat are judged one by one; columns of these
-    names are replaced; an empty table gives an empty one."""
+    names are replaced; an empty table gives an empty one. A very long text is scored whole, in memory of some
+    60 times its bytes. The driver gets the indicators of per_class texts, or class_bytes of text, of each class."""
     known = labels.where(F.col(label).isNotNull() & ~X.held_out(F.col(doc_id), modulus, rest)).groupBy(F.col(doc_id).alias("of")).agg(F.min(F.col(label).cast("int")).alias("y"))
-    wanted = X.drawn(known.where("y = 1"), "of", per_class).unionByName(X.drawn(known.where("y = 0"), "of", per_class))
+    wanted = X.of_ids(known.where("y = 1"), per_class).unionByName(X.of_ids(known.where("y = 0"), per_class))
     # Bounded by the parameter, so it can be sent to all tasks.
     judged = docs.select(F.col(doc_id).alias("of"), F.col(text).alias("text")).join(F.broadcast(wanted), "of")
+    judged = X.drawn(judged, "text", {0: (per_class, class_bytes), 1: (per_class, class_bytes)})
     _, support = X.supports(judged, "text", "y", X.quality_indicators, 2)
-    sample = X.gathered(judged, "text", "y", X.quality_indicators, np.flatnonzero(support.sum(axis=0) >= LEAST))
+    sample = X.gathered(judged, "text", "y", X.quality_indicators, np.flatnonzero(support.sum(axis=0)))
     weights, bias = train(sample)
     shift = math.log(CUT / (1 - CUT)) - X.cut(sample.sums(weights) + bias, sample.label == 1)
     out = X.scored(docs.drop("held_out", "predicted"), text, X.quality_indicators, sample.full(weights), bias + shift)

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import _features as X
 from ._store import narrowed
 
-#: At most about so many confirmed and unlabelled texts are learnt from.
-POSITIVES, UNLABELLED, CUT = 20_000, 40_000, 0.7
+#: At most about so many confirmed and unlabelled texts, and bytes of either, are learnt from.
+POSITIVES, UNLABELLED, BYTES, CUT = 20_000, 40_000, 256 << 20, 0.7
 
 
 def telling(n: np.ndarray, support: np.ndarray) -> np.ndarray:
@@ -64,7 +64,7 @@ def train(sample: X.Sample, positive: np.ndarray, prior: float, *, epochs: int =
     return np.maximum(w, 0), b  # only what the confirmed texts have more of can count as toxic
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, rest: int = 1, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, rest: int = 1, positives: int = POSITIVES, unlabelled: int = UNLABELLED, sample_bytes: int = BYTES) -> DataFrame:
     """docs with held_out, score and predicted.
 
     Rows of labels that share an id are one, toxic if any says so; null labels and ids are
@@ -75,12 +75,14 @@ def scored(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     n, hits = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = min(0.9, max(1e-3, hits / n)) if n else 0.5
     open_docs = docs.where(~X.held_out(F.col(doc_id), modulus, rest)).select(F.col(doc_id).alias("of"), F.col(text).alias("text"))
-    wanted = X.drawn(known.where("y = 1"), "of", positives).unionByName(X.drawn(known.where("y = 0"), "of", positives))
+    wanted = X.of_ids(known.where("y = 1"), positives).unionByName(X.of_ids(known.where("y = 0"), positives))
     # Bounded by the parameters, so it can be sent to all tasks.
-    judged = open_docs.join(F.broadcast(wanted), "of").select("y", "text")
-    free = X.drawn(open_docs, "of", unlabelled).select(F.lit(2).alias("y"), "text")
-    rows = judged.unionByName(free)
-    sample = X.gathered(rows, "text", "y", X.word_indicators, telling(*X.supports(rows, "text", "y", X.word_indicators, 3)))
+    judged = open_docs.join(F.broadcast(wanted), "of").select("of", "y", "text")
+    free = open_docs.select("of", F.lit(2).alias("y"), "text")
+    rows = X.drawn(judged, "text", {0: (positives, sample_bytes), 1: (positives, sample_bytes)})
+    # What confirmed texts have more of is told from all open documents; only the steps take a sample of them.
+    features = telling(*X.supports(rows.unionByName(free), "text", "y", X.word_indicators, 3))
+    sample = X.gathered(rows.unionByName(X.drawn(free, "text", {2: (unlabelled, sample_bytes)})), "text", "y", X.word_indicators, features)
     # Labelled clean rows take no part in training: they only show where the cut errs least.
     learnt = sample.label != 0
     weights, bias = train(sample.rows(learnt), sample.label[learnt] == 1, prior)
