@@ -134,8 +134,28 @@ def _found(text: Column, kind: str, pattern: str, base: bool, gate: Column) -> C
     return F.when(gate, spans).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint,base:boolean,wrong:boolean,bins:struct<kind:int,digits:int,gaps:int,before:int,cue:int,length:int>>>"))
 
 
-def _overlaps(a: Column, b: Column) -> Column:
-    return (a["start"] < b["end"]) & (b["start"] < a["end"])
+def _kept_apart(s: Column, apart: bool) -> tuple[Column, Column]:
+    """A span's ends; if apart, spans of different kinds lie nowhere near each other."""
+    shift = s["kind"].cast("long") * (1 << 40) if apart else F.lit(0).cast("long")
+    return s["start"] + shift, s["end"] + shift
+
+
+def _overlapping(more: str, base: str, apart: bool = False) -> Column:
+    """For each span of more, whether it overlaps one of base (of its kind, if apart): with the spans
+    of both in order, the furthest end before it or the nearest start after it tells."""
+    far = 1 << 50
+
+    def marked(a: str, is_base: bool) -> Column:
+        return F.transform(a, lambda s, i: F.struct(_kept_apart(s, apart)[0].alias("start"), F.lit(is_base).alias("base"), i.alias("i"), _kept_apart(s, apart)[1].alias("end")))
+
+    def told(every: Column) -> Column:
+        past = _prefix(F.transform(every, lambda s: F.when(s["base"], s["end"]).otherwise(0)), F.greatest)
+        ahead = F.reverse(_prefix(F.transform(F.reverse(every), lambda s: F.when(s["base"], far - s["start"]).otherwise(0)), F.greatest))
+        near = F.zip_with(F.arrays_zip(every.alias("s"), past.alias("past")), ahead, lambda x, after: F.struct(x["s"]["i"].alias("i"), x["s"]["base"].alias("base"), ((x["past"] > x["s"]["start"]) | (far - after < x["s"]["end"])).alias("hit")))
+        return F.transform(F.array_sort(F.filter(near, lambda x: ~x["base"])), lambda x: x["hit"])
+
+    every = _let(F.array_sort(F.concat(marked(more, False), marked(base, True))), told)
+    return F.when((F.size(more) > 0) & (F.size(base) > 0), every).otherwise(F.array_repeat(F.lit(False), F.size(more)))
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -155,12 +175,12 @@ def fitted(found: DataFrame, key: Column, precision: float) -> tuple[BoostedTree
     """Trees from the counted cells of found, and a threshold for each kind. Candidates that no
     base span and no check decides aren't counted: they are what is judged."""
 
-    def label(s: Column) -> Column:
-        same = F.exists("pii_base", lambda b: (b["kind"] == s["kind"]) & _overlaps(s, b))
-        return F.when(same, True).when(s["wrong"] | F.exists("pii_base", lambda b: _overlaps(s, b)), False)
+    def label(s: Column, same: Column, any_base: Column) -> Column:
+        return F.when(same, True).when(s["wrong"] | any_base, False)
 
     stands = F.transform("pii_base", lambda s: F.struct(s["bins"].alias("bins"), F.lit(True).alias("right")))
-    near = F.filter(F.transform("pii_more", lambda s: F.struct(s["bins"].alias("bins"), label(s).alias("right"))), lambda s: s["right"].isNotNull())
+    flags = F.arrays_zip(_overlapping("pii_more", "pii_base", apart=True).alias("same"), F.col("pii_overlaps").alias("any"))
+    near = F.filter(F.zip_with("pii_more", flags, lambda s, f: F.struct(s["bins"].alias("bins"), label(s, f["same"], f["any"]).alias("right"))), lambda s: s["right"].isNotNull())
     rows = found.where(F.size("pii_base") + F.size("pii_more") > 0).select(F.pmod(F.xxhash64(key), F.lit(2)).alias("half"), F.explode(F.concat(stands, near)).alias("s"))
     cells = rows.groupBy("half", "s.bins").agg(F.sum(F.col("s.right").cast("long")).alias("right"), F.count("*").alias("n")).collect()
     x = np.array([[r["bins"][f] for f in _FEATURES] for r in cells], int).reshape(-1, len(_FEATURES))
@@ -184,19 +204,22 @@ def spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", precis
     without the texts if keep_text is false.
 
     Null and empty texts have none; rows that repeat are judged one by one; an empty table
-    gives an empty one; columns of these names are replaced, all others are kept."""
-    found = candidates(docs.drop("pii_base", "pii_more", "pii_all", "pii_spans"), text)
+    gives an empty one; columns of these names are replaced, all others are kept. A very long text is one row
+    of one task; its spans cost their number times 64 and a 4,096th of its square."""
+    found = candidates(docs.drop("pii_base", "pii_more", "pii_all", "pii_spans", "pii_overlaps"), text)
+    found = found.withColumn("pii_overlaps", _overlapping("pii_more", "pii_base"))
     found = written(found if keep_text else found.drop(text), "pii-candidates")
     trees, thresholds = fitted(found, F.col(doc_id), precision)
     least = F.array(*map(F.lit, thresholds))
-    chosen = F.filter("pii_more", lambda s: ~s["wrong"] & (trees.column(s["bins"]) >= F.get(least, s["kind"])) & ~F.exists("pii_base", lambda b: _overlaps(s, b)))
+    free = F.filter(F.zip_with("pii_more", "pii_overlaps", lambda s, near: F.when(~near & ~s["wrong"], s)), lambda s: s.isNotNull())
+    chosen = F.filter(free, lambda s: trees.column(s["bins"]) >= F.get(least, s["kind"]))
 
     def bare(a: Column) -> Column:
         return F.transform(a, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
 
     added = F.when(F.size("pii_more") > 0, bare(chosen)).otherwise(F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>"))
     out = found.withColumn("pii_spans", F.array_sort(F.array_distinct(F.concat(bare(F.col("pii_base")), added))))
-    return out.withColumn("pii_base", bare(F.col("pii_base"))).drop("pii_more")
+    return out.withColumn("pii_base", bare(F.col("pii_base"))).drop("pii_more", "pii_overlaps")
 
 
 def redacted(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
