@@ -4,7 +4,8 @@ Rules on hosts and paths decide some URLs. Their characters train two variable-o
 models, one of accepted and one of blocked URLs: counts of the next character after
 contexts of 0 to 4 characters, over all such URLs, smoothed from order to order by
 Witten-Bell's weights. A URL without a rule is judged by the difference of its two mean
-log-likelihoods per character against a threshold calibrated on the rules' own verdicts.
+log-likelihoods per character against a threshold calibrated on rules' verdicts that the models
+did not learn from: of the URLs with rules one in ``calibrate``, chosen by hash, is kept for that.
 
 Characters fall into 40 classes, and every context is a cell of its own: 2,625,641 at most.
 Counts of contexts up to three characters lie in a full table (21 MB), those of four in a
@@ -140,29 +141,32 @@ def _looked_up(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> np.
     return out if len(out) > 1 else out[0]
 
 
-def judged(pages: DataFrame, *, url: str = "url", keep: list[str] | None = None, rules=RULES) -> DataFrame:
+def judged(pages: DataFrame, *, url: str = "url", keep: list[str] | None = None, rules=RULES, calibrate: int = 5) -> DataFrame:
     """pages (its columns keep, or all) with host, path, rule, score (of the models) and verdict.
 
     verdict: the rule's, else block if score is under the threshold, else allow. The threshold
-    is the middle of the range of scores that errs least on the URLs with rules. A null or
+    is the middle of the range of scores that errs least on the URLs with rules that are kept for it (on
+    all, if those lack either verdict, or calibrate is 0; then the models learn from all). A null or
     empty URL has no rule, score 0 and so verdict allow if the threshold allows 0; without URLs of either kind
     the models know nothing, and everything without a rule is allowed. Rows that repeat
-    count and are judged each; columns of these names are replaced."""
+    count and are judged each; columns of these names are replaced. A very long URL is scored whole."""
     host, path = parts(F.col(url))
     base = pages.select(*(c for c in pages.columns if c == url or (keep is None or c in keep) and c.lower() not in ("host", "path", "rule", "verdict", "score")))
     ruled = base.withColumn("host", F.coalesce(host, F.lit(""))).withColumn("path", F.coalesce(path, F.lit("")))
     ruled = ruled.withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules))
+    apart = F.pmod(F.xxhash64(url, F.lit("calibrate")), F.lit(calibrate)) == 0 if calibrate else F.lit(False)
     known = ruled.where(F.col("by_rule").isNotNull()).withColumn("blocked", F.col("by_rule.verdict") == "block")
-    cells = counted(known, url, "blocked").toArrow()  # rows of 12 bytes
+    cells = counted(known.where(~apart), url, "blocked").toArrow()  # rows of 12 bytes
     models = UrlModels(cells.column("cell").to_numpy(), np.stack([cells.column(x).to_numpy() for x in ("accepted", "blocked")], axis=1))
     held = pages.sparkSession.sparkContext.broadcast(Carried(models))
     scored = with_columns(ruled, url, [T.StructField("score", T.DoubleType())], lambda batch: [held.value.score(batch.column(batch.schema.get_field_index(url)))])
     scored = written(scored, "url-scores")
     top = 4.0
     bin_of = F.least(F.greatest(F.floor((F.col("score") + top) / (2 * top) * _BINS), F.lit(0)), F.lit(_BINS - 1))
-    table = np.zeros((_BINS, 2))
-    for r in scored.where("by_rule is not null").groupBy(bin_of.cast("int").alias("bin"), (F.col("by_rule.verdict") == "block").alias("blocked")).count().collect():
-        table[r.bin, int(r.blocked)] = r["count"]
+    tables = np.zeros((2, _BINS, 2))
+    for r in scored.where("by_rule is not null").groupBy(apart.alias("apart"), bin_of.cast("int").alias("bin"), (F.col("by_rule.verdict") == "block").alias("blocked")).count().collect():
+        tables[int(r.apart), r.bin, int(r.blocked)] = r["count"]
+    table = tables[1] if tables[1].sum(axis=0).all() else tables.sum(axis=0)
     threshold = -np.inf
     if table.sum(axis=0).all():
         wrong = np.concatenate([[0], np.cumsum(table[:, 0])]) / table[:, 0].sum() + (table[:, 1].sum() - np.concatenate([[0], np.cumsum(table[:, 1])])) / table[:, 1].sum()
