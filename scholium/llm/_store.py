@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; in local mode, if unset, a temporary one."""
+    """The cluster's checkpoint folder; in local mode, if unset, a temporary one. On a cluster it must be set:
+    no other folder is known to be shared."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if (spark.conf.get("spark.master", "") or "").split("[")[0] == "local":
         return f"file://{os.path.join(tempfile.gettempdir(), 'scholium-checkpoints')}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,6 +34,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(table: DataFrame) -> None:
+    """Deletes a table that written() made and nothing reads any more."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def narrowed(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with the columns own, all others in one struct, so no name can clash with an operator's;
     and what puts docs' columns back."""

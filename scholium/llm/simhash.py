@@ -20,15 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import written
+from ._store import removed, written
 from ._text import LOWER, NOT_SPACE, Words, buffer_of, with_columns
 from ._xxh64 import xxh64
 
 SHINGLE, DISTANCE = 3, 3
 SEGMENTS, BITS = 8, 8
 _BUDGET = [DISTANCE * (k + 1) // SEGMENTS for k in range(SEGMENTS)]
+#: Which two of a chain's segments 2, 3 and 4 are equal.
+_CHOICES = ((2, 3), (2, 4), (3, 4))
 #: Rows that one task compares at a time, on average.
 _SHARD_ROWS = 1 << 17
+#: Groups of a key up to this size are compared all with all; larger ones give a forest, and those
+#: beyond the second are split by a further segment first. The budgets are the same in all.
 _PAIRS, _SCAN = 16, 4096
 
 
@@ -70,7 +74,7 @@ def chain_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = []
     for start in range(SEGMENTS):
         s = [seg[:, (start + k) % SEGMENTS] for k in range(5)]
-        for choice, (a, b) in enumerate(((2, 3), (2, 4), (3, 4))):
+        for choice, (a, b) in enumerate(_CHOICES):
             keys.append(((start * 3 + choice) << 32) | (s[0] << 24) | (s[1] << 16) | (s[a] << 8) | s[b])
     return np.concatenate(keys), np.tile(np.arange(len(fp)), len(keys))
 
@@ -82,15 +86,15 @@ def viable(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (np.cumsum(np.take_along_axis(ones, ring, axis=1), axis=1) <= np.array(_BUDGET)).all(axis=1)
 
 
-def _forest(fp: np.ndarray, split: bool = True) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that join the same fingerprints as all links within the distance do."""
+def _forest(fp: np.ndarray, start: int, free: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Links that join the same fingerprints of one key as all viable chains from start do."""
     a, b = [], []
-    if split and len(fp) > _SCAN:  # equal in one of four 16-bit parts, or further than the distance
-        for k in range(4):
-            part = (fp >> np.uint64(16 * k)) & np.uint64(0xFFFF)
+    if len(fp) > _SCAN and free:  # no more bits may differ than there are free segments less one, so one of those is equal
+        for k in free:
+            part = _segments(fp)[:, k]
             order = np.argsort(part, kind="stable")
             for run in np.split(fp[order], np.flatnonzero(np.diff(part[order])) + 1):
-                more = _forest(run, split=False)
+                more = _forest(run, start, [])
                 a += more[0]
                 b += more[1]
         return a, b
@@ -98,7 +102,9 @@ def _forest(fp: np.ndarray, split: bool = True) -> tuple[list[np.ndarray], list[
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
-            near = np.bitwise_count(rest ^ front[0]) <= DISTANCE
+            close = np.flatnonzero(np.bitwise_count(rest ^ front[0]) <= DISTANCE)
+            near = np.zeros(len(rest), bool)
+            near[close] = viable(rest[close], np.full(len(close), front[0]), np.full(len(close), start))
             found = rest[near]
             a.append(np.full(len(found), front[0]))
             b.append(found)
@@ -107,7 +113,7 @@ def _forest(fp: np.ndarray, split: bool = True) -> tuple[list[np.ndarray], list[
 
 
 def links_of(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among fingerprints of equal key: all in small groups, a forest in large ones."""
+    """Links among fingerprints of equal key whose chains are viable: all in small groups, a forest in large ones."""
     order = np.lexsort((fp, key))
     key, fp = key[order], fp[order]
     fresh = np.ones(len(key), bool)
@@ -123,7 +129,9 @@ def links_of(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a.append(fp[i[good]])
         b.append(fp[i[good] + d])
     for h, n in zip(heads[sizes > _PAIRS], sizes[sizes > _PAIRS], strict=True):
-        more = _forest(fp[h : h + n])
+        start, choice = divmod(int(key[h] >> 32), len(_CHOICES))
+        held = {(start + k) % SEGMENTS for k in (0, 1, *_CHOICES[choice])}
+        more = _forest(fp[h : h + n], start, [k for k in range(SEGMENTS) if k not in held])
         a += more[0]
         b += more[1]
     a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
@@ -152,25 +160,26 @@ def links(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(keyed, schema).groupBy("shard").applyInArrow(linked, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in edges(a, b): root is the least node of its component.
 
-    Large-star and small-star rounds, each written in the shared folder. A round joins on
-    nodes, whose hot ones Spark splits; an error is raised if the rounds don't suffice."""
+    Large-star and small-star rounds until the links stay the same, which takes about the
+    logarithm of the nodes; each is written in the shared folder, and the one before it
+    removed. A round joins on nodes, whose hot ones Spark splits."""
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select("v", "m").union(low.select("u", "m")).toDF("u", "v").distinct()
-        edges = written(small, "links")
+        last, edges = edges, written(small, "links")
+        removed(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def clustered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", uid: str | None = None) -> DataFrame:
@@ -182,7 +191,8 @@ def clustered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ui
     repeats included; a shorter text is one shingle; a null or wordless text has
     fingerprint zero and links like any other. A null id is kept and is never a
     component's least id unless there is no other (then null); rows that repeat
-    get a row each; an empty table gives an empty one."""
+    get a row each; an empty table gives an empty one. A very long text is hashed whole, in memory of some
+    100 times its bytes."""
     own = [] if uid is None else ["uid", "root"]
     named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *(F.col(uid).alias("uid") for _ in own[:1]))
     made = with_columns(named, "text", [T.StructField("fp", T.LongType())], lambda batch: [pa.array(fingerprints(batch.column(batch.schema.get_field_index("text"))).view(np.int64))])
@@ -196,7 +206,8 @@ def clustered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ui
 
 
 def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, with its own columns: of the rows with its least id, the first.
+    """One row of each component, with its own columns: of the rows with its least id, the first in the table's
+    order. No text is shuffled.
     Rows are told apart by a key of their own, so ids may be null (they come last) or repeat: an
     id that is least in several components keeps a row of each."""
     keyed = written(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct(*(docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row")), "keyed-documents")

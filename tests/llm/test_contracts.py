@@ -3,13 +3,14 @@
 import math
 import os
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
 
 from scholium.llm import _features as features
-from scholium.llm import decontaminate, lm, pii, quality, quality_rules, substrings, toxicity, url_filter
+from scholium.llm import decontaminate, lm, mixing, pii, quality, quality_rules, simhash, substrings, toxicity, url_filter
 from scholium.llm.queries import ORACLE_SQL, QUERIES
 
 from . import brute
@@ -64,6 +65,36 @@ def test_op1_adds_what_no_base_pattern_matches(spark):
     assert all(rows[i].n_email == rows[i].n_phone == 1 for i in range(60))
 
 
+def test_op1_overlaps_are_those_of_all_pairs(spark):
+    rng = random.Random(8)
+    say = lambda n: sorted((a := rng.randrange(400), rng.randrange(4), a + rng.randrange(1, 9)) for _ in range(n))  # noqa: E731, F841
+    rows = [(k, say(rng.choice([0, 1, 5, 150])), say(rng.choice([0, 1, 5, 150]))) for k in range(40)]
+    kind = "array<struct<start:bigint,kind:int,end:bigint>>"
+    df = spark.createDataFrame(rows, f"k int, more {kind}, base {kind}")
+    found = {r.k: (r.near, r.same) for r in df.select("k", pii._overlapping("more", "base").alias("near"), pii._overlapping("more", "base", apart=True).alias("same")).collect()}
+    for k, more, base in rows:
+        pairs = [[(s < f and b < e, kind == other) for b, other, f in base] for s, kind, e in more]
+        assert found[k] == ([any(o for o, _ in p) for p in pairs], [any(o and same for o, same in p) for p in pairs])
+
+
+def test_op1_on_a_directory_of_numbers(spark):
+    """A text of 40,000 spans, base ones and candidates in turn, ends soon."""
+    text = " and ".join(f"+49 170 {i:07d}, 555 123 {i % 10000:04d}" for i in range(20_000))
+    r = pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.n_phone == 20_000
+
+
+def test_op2_tells_urls_without_a_rule_apart(spark):
+    """Where accepted and blocked URLs differ in their words, so do verdicts on URLs that no rule decides."""
+    rng = random.Random(3)
+    good, bad = ["garden", "history", "science", "library"], ["casino", "apuesta", "oferta", "gratis"]
+    say = lambda words: "-".join(rng.choice(words) for _ in range(4))
+    ruled = [f"http://x{i}.com/{say(good)}" for i in range(300)] + [f"http://x{i}.net/es/{say(bad)}" for i in range(300)]
+    free = [(f"http://y{i}.org/a/{say(w)}", v) for i in range(50) for w, v in ((good, "allow"), (bad, "block"))]
+    rows = {r.url: r.verdict for r in url_filter.judged(spark.createDataFrame([(u,) for u in [*ruled, *(u for u, _ in free)]], "url string")).collect()}
+    assert sum(rows[u] == v for u, v in free) >= 95
+
+
 def test_op2(spark, where):
     wanted = [(r.page_id, *brute.url_parts(r.url)) for r in spark.read.parquet(f"{where}/pages.parquet").collect()]
     rows = got(spark, where, "op2_url_filter")
@@ -97,7 +128,7 @@ def test_op2_contexts_stay_apart(spark):
         return total / len(c)
 
     pages = [u for u, _ in urls] + [f"http://y.org/{say(60)}", "h", ""]
-    rows = url_filter.judged(spark.createDataFrame([(u,) for u in pages], "url string")).collect()
+    rows = url_filter.judged(spark.createDataFrame([(u,) for u in pages], "url string"), calibrate=0).collect()
     got, some = {r.url: r.score for r in rows}, [*pages[:3], *pages[-6:-1]]
     assert [got[u] for u in some] == pytest.approx([*map(mean, some)], abs=1e-5) and got[""] == 0
 
@@ -195,6 +226,33 @@ def test_op9(spark, where):
     same(got(spark, where, "op9_simhash"), [(i, f"{f:016x}", roots[i]) for i, f in docs])
 
 
+@pytest.mark.parametrize(("n", "flips"), [(300, 2), (1200, 6), (9000, 7)])
+def test_op9_in_dense_groups(spark, n, flips):
+    """Many fingerprints round one centre share keys: links join what all pairs do."""
+    rng = np.random.default_rng(n)
+    fps = np.full(n, 0x0123456789ABCDEF, np.uint64)
+    for _ in range(flips):
+        fps ^= np.uint64(1) << rng.integers(0, 64 if n < 5000 else 20, n).astype(np.uint64)
+    fps = np.unique(fps)
+    a, b = simhash.links_of(*(lambda key, row: (key, fps[row]))(*simhash.chain_keys(fps)))
+    assert (np.bitwise_count(a ^ b) <= 3).all()
+
+    def least(edges):
+        root = np.arange(len(fps))
+        for x, y in edges:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            root[max(x, y)] = min(x, y)
+        for i in range(len(root)):
+            root[i] = root[root[i]]
+        return root.tolist()
+
+    pairs = [(i, i + 1 + j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3).tolist()]
+    assert least(zip(np.searchsorted(fps, a).tolist(), np.searchsorted(fps, b).tolist(), strict=True)) == least(pairs)
+
+
 def test_op10(spark, where):
     rows, docs = got(spark, where, "op10_mix"), documents(spark, where)
     same([(r["doc_id"], r["size"]) for r in rows], [(i, len(brute.WORD.findall(t or ""))) for i, t in docs])
@@ -210,6 +268,20 @@ def test_op10(spark, where):
     same(rows, [tuple(r.values()) for r in again])
 
 
+def test_op10_mixes_evenly(spark, sf_dir):
+    """Every stretch of the schedule holds the sources in about their target shares, and blocks come in turn."""
+    found = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), block_tokens=64)
+    points = sorted({(r.point, r.source_no) for r in found.schedule.select("point", "source_no").collect()})
+    total = Counter(s for _, s in points)
+    for begin in range(0, len(points) - 200, 97):
+        stretch = Counter(s for _, s in points[begin : begin + 200])
+        assert all(abs(stretch[s] - 200 * n / len(points)) <= 8 for s, n in total.items())
+    times = Counter((r.source_no, r.uid, r.first_word) for r in found.schedule.select("source_no", "uid", "first_word").collect())
+    for s in total:
+        own = [n for (of, *_), n in times.items() if of == s]
+        assert max(own) - min(own) <= 1
+
+
 @pytest.mark.parametrize("name", ["op6_toxicity", "op7_quality"])
 def test_scores(spark, where, name):
     rows = got(spark, where, name)
