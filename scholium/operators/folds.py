@@ -14,25 +14,28 @@ def _in_order(df: DataFrame, key: list[str], order: list[str], columns: list[str
     return df.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, *(c for c in columns if c not in order)))).alias("_rows"))
 
 
-def winners(df: DataFrame, *, key: list[str], value: str, source: str, file: str, version: str, row: str, preferred: Column) -> DataFrame:
+def winners(df: DataFrame, *, key: list[str], value: str, source: str, file: str, version: str, row: str, preferred: Column, ranking: str | None = None) -> DataFrame:
     """The fact that wins for each key, and n_conflicts. In order of source, file, version and row
     (as text): the same file's first row stays; equal values and incoming zeros are passed
-    over; a preferred source beats any other; else the later version and row (as a number) wins, and that is a conflict."""
+    over; a preferred source beats any other; else the later version and row (as a number) wins, and that is a conflict.
+    With a ranking (P4) a row that has one replaces a held row that lacks it, whatever else holds, and only rows that are equal in it too are passed over."""
     facts = df.withColumn("_v", F.col(value).cast("double")).withColumn("_good", F.coalesce(preferred, F.lit(False)))
-    rows = _in_order(facts, key, [source, file, version, row], ["_v", "_good"])
+    rows = _in_order(facts, key, [source, file, version, row], ["_v", "_good", *([ranking] if ranking else [])])
     later = lambda x: F.struct(x[version], F.coalesce(x[row].try_cast("long"), F.lit(0)))
 
     def step(a: Column, x: Column) -> Column:
         held, n = a["held"], a["n"]
         same_file = held[file].eqNullSafe(x[file]) & held[version].eqNullSafe(x[version])
-        passed = same_file | held["_v"].eqNullSafe(x["_v"]) | F.coalesce(x["_v"] == 0, F.lit(True))
+        same = held["_v"].eqNullSafe(x["_v"]) & (held[ranking].eqNullSafe(x[ranking]) if ranking else F.lit(True))
+        fills = held[ranking].isNull() & x[ranking].isNotNull() if ranking else F.lit(False)
+        passed = ~fills & (same_file | same | F.coalesce(x["_v"] == 0, F.lit(True)))
         wins = F.when(held["_good"] != x["_good"], x["_good"]).otherwise(later(x) > later(held))
-        clash = held["_good"] == x["_good"]
-        return F.struct(F.when(passed | ~wins, held).otherwise(x).alias("held"), (n + F.when(~passed & clash, 1).otherwise(0)).alias("n"))
+        clash = ~fills & (held["_good"] == x["_good"])
+        return F.struct(F.when(passed | ~(wins | fills), held).otherwise(x).alias("held"), (n + F.when(~passed & clash, 1).otherwise(0)).alias("n"))
 
     start = F.struct(F.get("_rows", F.lit(0)).alias("held"), F.lit(0).alias("n"))
     out = rows.withColumn("_a", F.aggregate(F.slice("_rows", F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0))), start, step))
-    return out.select(*key, F.col("_a.held._v").alias(value), F.col(f"_a.held.{source}").alias(source), F.col(f"_a.held.{file}").alias(file), F.col(f"_a.held.{version}").alias(version), F.col(f"_a.held.{row}").alias(row), F.col("_a.n").alias("n_conflicts"))
+    return out.select(*key, F.col("_a.held._v").alias(value), F.col(f"_a.held.{source}").alias(source), F.col(f"_a.held.{file}").alias(file), F.col(f"_a.held.{version}").alias(version), F.col(f"_a.held.{row}").alias(row), *([F.col(f"_a.held.{ranking}").alias(ranking)] if ranking else []), F.col("_a.n").alias("n_conflicts"))
 
 
 def link_states(df: DataFrame, *, key: list[str], order: list[str], target: str, state: str, replay: str) -> DataFrame:

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import written
+from ..store import removed, written
 
 
-def resolved(df: DataFrame, *, key: str, token: str, rounds: int = 60) -> DataFrame:
+def resolved(df: DataFrame, *, key: str, token: str) -> DataFrame:
     """(key, identity): the least key that a key reaches through shared tokens. Labels go from
     keys to tokens and back by aggregates, so a token that many keys share is no pair join;
-    each round halves paths by also taking the label's own label."""
+    each round halves paths by also taking the label's own label. Rounds go on until no label changes; each
+    is written, and the one before it removed."""
     edges = written(df.select(F.col(key).alias("k"), F.col(token).alias("t")).where("t is not null").distinct(), "identity-edges")
     labels = written(df.select(F.col(key).alias("k")).distinct().withColumn("l", F.col("k")), "identity-labels")
-    for _ in range(rounds):
+    while True:
         by_token = edges.join(labels, "k").groupBy("t").agg(F.min("l").alias("m"))
         by_key = edges.join(by_token, "t").groupBy("k").agg(F.min("m").alias("m"))
         near = labels.join(by_key, "k", "left").select("k", F.col("l").alias("was"), F.least("l", "m").alias("l"))
         jump = near.select(F.col("k").alias("l"), F.col("l").alias("ll"))
         new = written(near.join(jump, "l", "left").select("k", "was", F.least("l", "ll").alias("l")), "identity-labels")
+        removed(labels)
         if new.where("l <> was").isEmpty():
             return new.select(F.col("k").alias(key), F.col("l").alias("identity"))
         labels = new.select("k", "l")
-    raise RuntimeError(f"identities did not settle in {rounds} rounds")

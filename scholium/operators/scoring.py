@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.formula import compiled
 from ..functions.years import allowed_years
 
 #: Points of quarters (in and beyond the top cut), of conference and publisher ranks, of events; multipliers of economics.
@@ -130,6 +131,38 @@ def classification(items: DataFrame, facts: DataFrame, *, compat: bool = False)
     )
 
 
+def computer_science(items: DataFrame, facts: DataFrame, cuts: DataFrame, ranks: DataFrame, **options) -> DataFrame:
+    """Articles and reviews by their journal (R4), papers by their conference (R5), all else 0."""
+    journal = journal_points(items, facts, cuts, **options).select("item", F.col("score").alias("_journal"))
+    paper = conference_points(items.where("subtype = 'cp'"), ranks).select("item", F.col("score").alias("_paper"))
+    both = items.join(journal, "item", "left").join(paper, "item", "left")
+    kind = F.col("subtype")
+    return both.withColumn("score", F.coalesce(F.when(kind.isin("ar", "re"), F.col("_journal")).when(kind == "cp", F.col("_paper")), F.lit(0.0))).drop("_journal", "_paper")
+
+
+def university(items: DataFrame, ranks: DataFrame, *, window: str = "IY", this_year: int = LAST_YEAR) -> DataFrame:
+    """Items (item, university, year) with the best rank of its years in order, where a
+    missing year starts anew (Q6); ranks: university, year, rank. At most as many rows an item as the window has years."""
+    from .folds import best_since_gap
+
+    asked = items.select("item", "university", F.explode(allowed_years(window, F.col("year"), this_year, LAST_YEAR)).alias("year"))
+    held = ranks.groupBy("university", "year").agg(F.min("rank").cast("double").alias("rank"))
+    found = asked.join(held, ["university", "year"], "left").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("year", "rank"))).alias("_r"))
+    return items.join(found.select("item", best_since_gap(F.col("_r.rank")).alias("score")), "item", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
+def activities(df: DataFrame, expression: str, fields: list[str], *, values: str = "fields") -> DataFrame:
+    """Df with score, a user's formula over the named entries of a map of texts; an entry that is no number counts as 0."""
+    named = df.select(F.struct(*df.columns).alias("_row"), *(F.coalesce(text.locale_double(F.col(values)[f]), F.lit(0.0)).alias(f) for f in fields))
+    return named.withColumn("score", F.coalesce(compiled(expression, set(fields)), F.lit(0.0))).select("_row.*", "score")
+
+
+def best_quarter(facts: DataFrame) -> DataFrame:
+    """Each journal's best quarter over all years of AIS and IF; NOT_FOUND without any."""
+    known = F.when(F.col("quarter").rlike("^Q[1-4]$"), F.col("quarter"))
+    return facts.where(F.col("metric").isin("AIS", "IF")).groupBy("journal").agg(F.coalesce(F.min(known), F.lit("NOT_FOUND")).alias("quarter"))
+
+
 CLASSES = ["q1", "q2", "q3", "q4", "esci", "ahci", "erih", "isi_proceedings", "ieee", "lecture_notes"]
 
 

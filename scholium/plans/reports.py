@@ -41,8 +41,8 @@ def criteria(totals: DataFrame, config: DataFrame) -> DataFrame:
     members = config.select("criterion", F.explode("indicators").alias("indicator"))
     known = totals.select("indicator").distinct().withColumn("known", F.lit(True))
     missing = members.join(known, "indicator", "left").groupBy("criterion").agg(F.count_if(F.col("known").isNull()).alias("n_missing"))
-    sums = totals.join(F.broadcast(members), "indicator").groupBy("owner", "criterion").agg(F.sum("total").alias("score"))
-    return sums.join(F.broadcast(missing), "criterion")
+    sums = totals.join(members, "indicator").groupBy("owner", "criterion").agg(F.sum("total").alias("score"))
+    return sums.join(missing, "criterion")
 
 
 def judged(scores: DataFrame, thresholds: DataFrame, positions: DataFrame) -> DataFrame:

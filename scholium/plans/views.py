@@ -33,7 +33,8 @@ def publication_view(publications: DataFrame, citations: DataFrame) -> DataFrame
 
 def swap(df: DataFrame, path: str, expected: int | None = None) -> int:
     """K3, K5: writes df beside the table, checks the count, then the table's place takes it; a failed
-    check leaves the table as it is. Works on any Hadoop file system."""
+    check or a failed move leaves the table as it is. For file systems that move folders at once; readers may
+    find no table between the two moves, and a run that was stopped there is put right by the next."""
     spark = df.sparkSession
     staged, old = f"{path}__staged", f"{path}__old"
     df.write.mode("overwrite").parquet(staged)
@@ -43,10 +44,17 @@ def swap(df: DataFrame, path: str, expected: int | None = None) -> int:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
     fs = at(path).getFileSystem(conf)
-    fs.delete(at(old), True)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(staged), at(path))
+    held = fs.exists(at(path))
+    if held:
+        fs.delete(at(old), True)
+        if not fs.rename(at(path), at(old)):
+            raise OSError(f"can't move {path}")
+    elif fs.exists(at(old)):  # left by a run that was stopped between its moves
+        held = True
+    if not fs.rename(at(staged), at(path)):
+        if held and not fs.rename(at(old), at(path)):
+            raise OSError(f"can't move {staged}; the table is at {old}")
+        raise OSError(f"can't move {staged}")
     fs.delete(at(old), True)
     return n
 

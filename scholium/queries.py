@@ -82,10 +82,10 @@ def valid_edges(spark, d):
     return joins.valid_edges(edges, table(spark, d, "lineitem").where("l_returnflag = 'R'"), ends=["o_orderkey"], node="l_orderkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def missing_backfill(spark, d):
     """Rows that the other side lacks."""
-    return joins.dropped_edges(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders"), end="c_custkey", node="o_custkey")
+    return joins.dropped_edges(table(spark, d, "customer").select("c_custkey", "c_name"), table(spark, d, "orders").where("o_totalprice > 300000"), end="c_custkey", node="o_custkey")
 
 
 @query("""WITH s AS (SELECT s_nationkey k, min(s_name) v FROM supplier GROUP BY 1), c AS (SELECT c_custkey, c_nationkey, c_custkey % 25 AS alt FROM customer)
@@ -232,25 +232,63 @@ def token_overlap(spark, d):
     return joins.overlaps(table(spark, d, "lineitem"), table(spark, d, "part"), key="l_orderkey", token="l_partkey", entity="p_brand", known_token="p_partkey")
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT p_partkey k, unnest(['n|' || p_name || '|' || p_size, 'b|' || p_brand || '|' || p_type || '|' || p_size]) t FROM part), n AS MATERIALIZED (SELECT DISTINCT a.k, b.k m FROM e a JOIN (SELECT t, min(k) k FROM e GROUP BY 1) b USING (t)),
+g AS MATERIALIZED (SELECT k a, m b FROM n UNION SELECT m, k FROM n), r(k, l) USING KEY (k) AS (SELECT p_partkey, p_partkey FROM part UNION (SELECT g.b, min(r.l) FROM r JOIN g ON g.a = r.k JOIN recurring.r o ON o.k = g.b WHERE r.l < o.l GROUP BY g.b))
+SELECT k p_partkey, l AS identity FROM r""")
 def identity_resolution(spark, d):
-    """Parts that share a name, or brand, type and size, are one; iterative, so tested against brute force."""
-    tokens = F.array(F.concat(F.lit("n:"), "p_name"), F.concat_ws("|", F.lit("b"), "p_brand", "p_type", F.col("p_size").cast("string")))
+    """Parts of a size that share a name, or brand and type, are one."""
+    size = F.col("p_size").cast("string")
+    tokens = F.array(F.concat_ws("|", F.lit("n"), "p_name", size), F.concat_ws("|", F.lit("b"), "p_brand", "p_type", size))
     return identity.resolved(table(spark, d, "part").select("p_partkey", F.explode(tokens).alias("token")), key="p_partkey", token="token")
 
 
-@query()
+_FACTS = """e AS (SELECT user_id, round(value, 0) v, event_type s, strftime(ts, '%Y-%m-%d') f, strftime(ts, '%Y-%m') r, event_id::VARCHAR w, event_id % 3 k FROM events),
+o AS (SELECT *, coalesce(s = 'purchase', false) good, CASE WHEN k > 0 THEN k END ranking, row_number() OVER (PARTITION BY user_id ORDER BY s, f, r, w) i FROM e)"""
+
+
+def _winner(fills: str, same: str) -> str:
+    """Rows of a key one by one: what is held, and the clashes so far."""
+    wins = "CASE WHEN h.good <> x.good THEN x.good ELSE (x.r, x.w::BIGINT) > (h.r, h.w::BIGINT) END"
+    passed = f"(NOT {fills} AND ((h.f = x.f AND h.r = x.r) OR ({same}) OR coalesce(x.v = 0, true)))"
+    takes = f"(NOT {passed} AND ({wins} OR {fills}))"
+    kept = ", ".join(f"CASE WHEN {takes} THEN x.{c} ELSE h.{c} END" for c in ("v", "s", "f", "r", "w", "good", "ranking"))
+    return f"""WITH RECURSIVE {_FACTS}, t AS (SELECT user_id, v, s, f, r, w, good, ranking, 1::BIGINT i, 0 n FROM o WHERE i = 1 UNION ALL
+SELECT h.user_id, {kept}, x.i, h.n + CASE WHEN NOT {passed} AND NOT {fills} AND h.good = x.good THEN 1 ELSE 0 END FROM t h JOIN o x ON x.user_id = h.user_id AND x.i = h.i + 1)
+SELECT user_id, v AS value, s AS source, f AS file, r AS version, w AS row"""
+
+
+def _facts(spark, d):
+    k = F.col("event_id") % 3
+    return table(spark, d, "events").select("user_id", F.round("value", 0).alias("value"), F.col("event_type").alias("source"), F.date_format("ts", "yyyy-MM-dd").alias("file"), F.date_format("ts", "yyyy-MM").alias("version"), F.col("event_id").cast("string").alias("row"), F.when(k > 0, k).alias("ranking"))
+
+
+_LAST = "FROM t QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1"
+
+
+@query(f"{_winner('false', 'h.v IS NOT DISTINCT FROM x.v')}, n::INT n_conflicts {_LAST}")
 def metric_winner(spark, d):
-    """The fact that wins for each user and value class; an ordered fold, so tested against plain Python."""
-    e = table(spark, d, "events").select("user_id", F.round("value", 0).alias("value"), F.col("event_type").alias("source"), F.date_format("ts", "yyyy-MM-dd").alias("file"), F.date_format("ts", "yyyy-MM").alias("version"), F.col("event_id").cast("string").alias("row"))
-    return folds.winners(e, key=["user_id"], value="value", source="source", file="file", version="version", row="row", preferred=F.col("source") == "purchase")
+    """The fact that wins for each user."""
+    return folds.winners(_facts(spark, d).drop("ranking"), key=["user_id"], value="value", source="source", file="file", version="version", row="row", preferred=F.col("source") == "purchase")
+
+
+@query(f"{_winner('(h.ranking IS NULL AND x.ranking IS NOT NULL)', 'h.v IS NOT DISTINCT FROM x.v AND h.ranking IS NOT DISTINCT FROM x.ranking')}, ranking, n::INT n_conflicts {_LAST}")
+def category_winner(spark, d):
+    """Likewise, where a row with a ranking replaces one without."""
+    return folds.winners(_facts(spark, d), key=["user_id"], value="value", source="source", file="file", version="version", row="row", preferred=F.col("source") == "purchase", ranking="ranking")
 
 
-@query("""WITH e AS (SELECT user_id, max(event_id) m, min(event_id) f, bool_or(event_type = 'purchase') p FROM events GROUP BY 1) SELECT user_id, CASE WHEN m = f THEN 'LINKED' ELSE 'CONFLICT' END AS state, f target, CASE WHEN m = f THEN 0 ELSE 1 END::INT n_relinks FROM e""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id % 3 target, ['LINKED', 'LINKED', 'UNMATCHED', 'LINKED', 'CONFLICT', 'SKIPPED'][(event_id * 7 % 6 + 1)::INT] state, event_id % 4 = 0 replay, row_number() OVER (PARTITION BY user_id ORDER BY event_id) i FROM events),
+t AS (SELECT DISTINCT user_id, 0::BIGINT i, 'UNMATCHED' state, NULL::BIGINT target, 0 n FROM e UNION ALL
+SELECT t.user_id, e.i, CASE WHEN t.state IN ('CONFLICT', 'SKIPPED') AND NOT e.replay THEN t.state WHEN t.state = 'LINKED' AND e.state = 'LINKED' AND t.target IS DISTINCT FROM e.target THEN 'CONFLICT' ELSE e.state END,
+CASE WHEN (t.state IN ('CONFLICT', 'SKIPPED') AND NOT e.replay) OR (t.state = 'LINKED' AND e.state = 'LINKED' AND t.target IS DISTINCT FROM e.target) THEN t.target WHEN e.state = 'LINKED' THEN e.target END,
+t.n + CASE WHEN t.state = 'LINKED' AND e.state = 'LINKED' AND t.target IS DISTINCT FROM e.target THEN 1 ELSE 0 END FROM t JOIN e ON e.user_id = t.user_id AND e.i = t.i + 1)
+SELECT user_id, state, target, n::INT n_relinks FROM t QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1""")
 def link_states(spark, d):
-    """Every event links its user to itself; the first link stays."""
-    e = table(spark, d, "events").select("user_id", "event_id", F.lit("LINKED").alias("state"), F.lit(False).alias("replay"))
-    return folds.link_states(e, key=["user_id"], order=["event_id"], target="event_id", state="state", replay="replay")
+    """Links that change in every way: a linked target stays, another one is a conflict, which only a replay leaves."""
+    k = F.col("event_id")
+    states = F.get(F.array(*map(F.lit, ("LINKED", "LINKED", "UNMATCHED", "LINKED", "CONFLICT", "SKIPPED"))), (k * 7 % 6).cast("int"))
+    e = table(spark, d, "events").select("user_id", "event_id", (k % 3).alias("target"), states.alias("state"), (k % 4 == 0).alias("replay"))
+    return folds.link_states(e, key=["user_id"], order=["event_id"], target="target", state="state", replay="replay")
 
 
 @query("""WITH m AS (SELECT user_id, event_type, event_id, ts FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) i FROM m) SELECT user_id, event_id, event_type FROM r WHERE i = 1""")

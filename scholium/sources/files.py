@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.ranking import top
 
 
 def year_of(path: Column) -> Column:
@@ -105,3 +106,10 @@ def exported(df: DataFrame, path: str, columns: list[str]) -> None:
     """CSV with all fields quoted where they must be; arrays joined by '; '. As many files as partitions."""
     kinds = dict(df.dtypes)
     df.select(*(F.array_join(c, "; ").alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns)).write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def preview(rows: DataFrame, *, file: str, row: str, error: str, samples: int = 20) -> DataFrame:
+    """For each file how many rows an import plans, how many it can't read, and the first samples; nothing is written."""
+    first = top(rows.select(file, row), group=[file], order=[F.asc(row)], n=samples)
+    shown = first.groupBy(file).agg(F.array_sort(F.collect_list(row)).alias("samples"))
+    return rows.groupBy(file).agg(F.count("*").alias("planned"), F.count(error).alias("errors")).join(shown, file)

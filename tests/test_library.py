@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from scholium import queries
+from scholium import catalog_queries, queries, scoring_queries  # noqa: F401
 from scholium.functions import formula, text, years
 from scholium.operators import folds, identity, joins, ledger, ranking, scoring, search
 from scholium.plans import reports, views
@@ -94,7 +94,7 @@ def test_identity_against_union_find(spark, sf_dir):
 
     parts = [r.p_partkey for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect()]
     for r in spark.read.parquet(f"{sf_dir}/part.parquet").collect():
-        for t in (f"n:{r.p_name}", f"{r.p_brand}|{r.p_type}|{r.p_size}"):
+        for t in (f"n|{r.p_name}|{r.p_size}", f"{r.p_brand}|{r.p_type}|{r.p_size}"):
             root[find(t)] = find(r.p_partkey)
     least = {}
     for p in parts:
