@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ._xxh64 import xxh64
 
 #: Texts are worked on in pieces of about so many bytes; a longer text is a piece of its own.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 18
 
 _BYTES = np.arange(256)
 #: Everything but space and 0x09-0x0D.
