@@ -201,6 +201,18 @@ def ledger_insert(spark, d):
     return ledger.inserted(e.where("value < 60"), e.where("value > 40"), key=["user_id"], payload=["event_type", "value"]).select("user_id", "event_type", "value")
 
 
+@query("""WITH c AS (SELECT l_orderkey o, l_suppkey % 2 s, CASE WHEN l_returnflag <> 'R' THEN l_returnflag ELSE ' ' END m, l_linenumber n, l_partkey % 3 i FROM lineitem),
+k AS (SELECT o, s, m, arg_max(i, (n, i)) i FROM c WHERE m <> ' ' GROUP BY ALL), h AS (SELECT o, s, m, CASE WHEN o % 5 = 0 THEN 'old' ELSE o || '|' || s || '|' || m END id, min(i) i FROM c WHERE n % 2 = 1 GROUP BY ALL)
+SELECT k.o, k.s, k.m, coalesce(id, k.o || '|' || k.s || '|' || k.m) edge_id, k.i, CASE WHEN id IS NULL THEN 'insert' WHEN h.i = k.i THEN 'none' ELSE 'update' END AS action, coalesce(id = 'old', false) conflict FROM k LEFT JOIN h ON k.o = h.o AND k.s = h.s AND k.m = h.m
+UNION ALL SELECT o, s, m, NULL, i, 'reject', false FROM c WHERE m = ' '""")
+def edge_upsert(spark, d):
+    """Edges asked for, their ids, and what is written of them."""
+    made = F.concat_ws("|", "o", "s", "m")
+    c = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_suppkey") % 2).alias("s"), F.when(F.col("l_returnflag") != "R", F.col("l_returnflag")).otherwise(" ").alias("m"), F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 3).alias("i"))
+    stored = c.where("n % 2 = 1").groupBy("o", "s", "m").agg(F.min("i").alias("i")).withColumn("edge_id", F.when(F.col("o") % 5 == 0, "old").otherwise(made))
+    return ledger.edges_upserted(stored, c, key=["o", "s", "m"], edge_id="edge_id", made_id=made, lineage=["i"], order="n")
+
+
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_returnflag <> 'A'), s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 40 THEN l_suppkey + 1 ELSE l_suppkey END l_suppkey FROM lineitem WHERE l_returnflag <> 'R')
 SELECT coalesce(x.l_orderkey, s.l_orderkey) l_orderkey, coalesce(x.l_linenumber, s.l_linenumber)::INT l_linenumber, CASE WHEN s.l_orderkey IS NULL THEN 'insert' WHEN x.l_orderkey IS NULL THEN 'delete' WHEN x.l_suppkey = s.l_suppkey THEN 'none' ELSE 'repair' END AS action, x.l_suppkey expected, s.l_suppkey stored
 FROM x FULL JOIN s ON x.l_orderkey = s.l_orderkey AND x.l_linenumber = s.l_linenumber""")

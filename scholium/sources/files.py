@@ -24,6 +24,42 @@ def metric_events(cells: DataFrame) -> DataFrame:
     return good.select(F.lit("GOV").alias("source_type"), name.alias("source_file"), F.concat(F.lit("v"), year_of(F.col("path")).cast("string")).alias("source_version"), F.col("row_item").cast("string").alias("source_row_item"), payload.alias("payload")).withColumn("checksum", F.sha2("payload", 256))
 
 
+#: The cells that hold ISSNs, by metric and years.
+ISSN_CELLS = [("AIS", 2020, 2023, [1, 2]), ("AIS", 2014, 2017, [2]), ("AIS", 0, 9999, [1]), ("RIS", 2020, 9999, [1, 2]), ("RIS", 0, 9999, [1])]
+
+
+def _filled(c: Column) -> Column:
+    return F.coalesce(F.trim(c) != "", F.lit(False))
+
+
+def with_valid_issns(cells: DataFrame) -> DataFrame:
+    """workbook rows (path, row_item, cells) without those whose ISSN cells are filled but none of
+    them valid; in the others, invalid ones are blank. Rows without any, and files of no known metric, stay."""
+    name = F.element_at(F.split("path", "/"), -1)
+    kind, year = F.regexp_extract(name, "^(AIS|RIS)_", 1), year_of(F.col("path"))
+    places = F.array().cast("array<int>")
+    for metric, first, last, held in reversed(ISSN_CELLS):
+        places = F.when((kind == metric) & year.between(first, last), F.array(*map(F.lit, held))).otherwise(places)
+    at = cells.withColumn("_at", places)
+    wrong = lambda x: _filled(x) & text.issn_token(x).isNull()
+    numbers = F.transform("_at", lambda i: F.get("cells", i))
+    good = at.where(~F.exists(numbers, _filled) | F.exists(numbers, lambda x: text.issn_token(x).isNotNull()) | F.col("cells").isNull())
+    blank = F.transform("cells", lambda x, i: F.when(F.array_contains("_at", i) & wrong(x), "").otherwise(x))
+    return good.withColumn("cells", blank).drop("_at")
+
+
+def with_valid_identity(items: DataFrame, payload: str = "payload") -> DataFrame:
+    """F22 for JSON objects with issn and eissn (or eIssn): likewise; invalid ones are null, as are both
+    spellings of the second. What is no object stays as it is."""
+    read = items.withColumn("_m", F.try_variant_get(F.try_parse_json(F.col(payload)), "$", "map<string,variant>"))
+    said = lambda k: F.get_json_object(payload, f"$.{k}")
+    print_, online = said("issn"), F.when(_filled(said("eissn")), said("eissn")).otherwise(said("eIssn"))
+    bad = {"issn": text.issn_token(print_).isNull(), "eissn": text.issn_token(online).isNull(), "eIssn": text.issn_token(online).isNull()}
+    any_, valid = _filled(print_) | _filled(online), ~bad["issn"] | ~bad["eissn"]
+    out = F.transform_values("_m", lambda k, v: F.when(((k == "issn") & bad["issn"]) | (k.isin("eissn", "eIssn") & bad["eissn"]), F.lit(None)).otherwise(v))
+    return read.where(F.col("_m").isNull() | ~any_ | valid).withColumn(payload, F.when(F.col("_m").isNull(), F.col(payload)).otherwise(F.to_json(out))).drop("_m")
+
+
 def json_items(spark: SparkSession, path: str) -> DataFrame:
     """(path, row_item, payload) of files that are JSON arrays; a file that is none has one row with a null payload."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")

@@ -9,7 +9,9 @@ import sys
 import time
 import urllib.request
 from collections.abc import Iterator
+from itertools import batched
 
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,13 +95,29 @@ def paged(spark: SparkSession, endpoint: str, tasks: list[tuple[str, str | None]
     """All pages of each task, cursor after cursor, as (task, page, record, payload, error).
     Items without a record go. Tasks are read in slices (50 each), one Spark task a slice; a task that fails
     after its attempts gives one row with its error and what it had read. tasks is a work list of one
-    run (10,000 at most), not data."""
+    run (10,000 at most), not data; paged_from takes more."""
     if len(tasks) > 10_000:
         raise ValueError(f"{len(tasks)} tasks; 10,000 at most in a run")
     spark.dataSource.register(PagedSource)
     return spark.read.format("paged").options(tasks=json.dumps([list(t) for t in tasks]), **{k: str(v) for k, v in options.items()}).load(endpoint)
 
 
+def paged_from(tasks: DataFrame, endpoint: str, **options) -> DataFrame:
+    """The same for any number of tasks, given as a table (task, from_date): spread over as many
+    partitions as there are slices, and read there. A lost executor's slices are asked again."""
+    reader = _Reader({"path": endpoint, "tasks": "[]", **options})
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def answers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            asked = [(t, s) for t, s in zip(frame["task"], frame["from_date"].where(frame["from_date"].notna(), None), strict=True)]
+            for rows in batched(reader.read(_Slice(asked)), 1000):
+                yield pd.DataFrame(rows, columns=names)
+
+    named = tasks.select(F.col("task").cast("string"), F.col("from_date").cast("string")).where("task is not null")
+    return named.repartition(max(1, -(-named.count() // reader.size))).mapInPandas(answers, SCHEMA)
+
+
 def lower_bounds(publications: DataFrame, citations: DataFrame, default: str = "1900-01-01") -> DataFrame:
     """Each cited publication's (eid) last known date of a citation (cited_eid, date), else default."""
     last = citations.groupBy(F.col("cited_eid").alias("eid")).agg(F.max("date").alias("since"))

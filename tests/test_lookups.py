@@ -1,11 +1,13 @@
 """Lookups, filters, intake and later strategies on literal rows: nulls, blanks, repeats and empty tables."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
-from scholium.operators import folds, lookups, scoring, search
+from scholium.operators import folds, ledger, lookups, scoring, search
 from scholium.plans import intake, views
-from scholium.sources import files
+from scholium.sources import files, paged
 
 
 def test_issn_bridge_and_lookup(spark):
@@ -80,3 +82,35 @@ def test_swap_after_a_run_that_was_stopped(spark, tmp_path):
     with pytest.raises(ValueError, match="expected"):
         views.swap(spark.range(1).toDF("k"), path, 2)
     assert spark.read.parquet(path).count() == 5
+
+
+def test_issn_intake(spark):
+    rows = [("d/AIS_2021.xlsx", 0, ["n", "1234-567x", "bad"]), ("d/AIS_2021.xlsx", 1, ["n", "bad", "worse"]), ("d/AIS_2021.xlsx", 2, ["n", "", None]), ("d/AIS_2015.xlsx", 3, ["n", "bad", "12345678"]), ("d/RIS_2019.xlsx", 4, ["n", "bad", "12345678"]), ("d/else.xlsx", 5, ["n", "bad"]), ("d/AIS_2021.xlsx", 6, None), ("d/AIS_2021.xlsx", 7, ["n"])]
+    df = spark.createDataFrame(rows, "path string, row_item int, cells array<string>")
+    got = {r.row_item: r.cells for r in files.with_valid_issns(df).collect()}
+    assert got == {0: ["n", "1234-567x", ""], 2: ["n", "", None], 3: ["n", "bad", "12345678"], 5: ["n", "bad"], 6: None, 7: ["n"]}
+    assert files.with_valid_issns(df.limit(0)).isEmpty()
+    texts = ['{"issn":"1234-567X","eissn":"bad","t":{"a":[1,null]}}', '{"issn":"bad","t":1}', '{"t":1}', "[1]", None, '{"eissn":" ","eIssn":"12345678","issn":"x"}', "no json"]
+    made = files.with_valid_identity(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, payload string")).collect()
+    as_read = {r.i: r.payload if r.payload in (None, "no json") else json.loads(r.payload) for r in made}
+    assert as_read == {0: {"issn": "1234-567X", "eissn": None, "t": {"a": [1, None]}}, 2: {"t": 1}, 3: [1], 4: None, 5: {"eissn": " ", "eIssn": "12345678", "issn": None}, 6: "no json"}
+
+
+def test_edges_upserted(spark):
+    stored = spark.createDataFrame([("a|b", "a", "b", "x", None), ("odd", "a", "c", "x", None), ("z|z", "z", "z", "x", "y")], "id string, l string, r string, p string, q string")
+    commands = [("a", "b", "x", None, 1), ("a", "c", "x", None, 1), ("a", "c", "y", None, 2), ("n", "n", None, "q", 1), ("n", "n", "p", "q", 0), (" ", "b", "x", None, 1), ("a", None, "x", None, 1), ("a", None, "x", None, 1)]
+    df = spark.createDataFrame(commands, "l string, r string, p string, q string, o int")
+    options = dict(key=["l", "r"], edge_id="id", made_id=F.concat_ws("|", "l", "r"), lineage=["p", "q"], order="o")
+    got = sorted(((r.l, r.r or "", r.id, r.p, r.q, r.action, r.conflict) for r in ledger.edges_upserted(stored, df, **options).collect()), key=str)
+    rejected = [(" ", "b", None, "x", None, "reject", False), ("a", "", None, "x", None, "reject", False), ("a", "", None, "x", None, "reject", False)]
+    assert got == sorted([*rejected, ("a", "b", "a|b", "x", None, "none", False), ("a", "c", "odd", "y", None, "update", True), ("n", "n", "n|n", None, "q", "insert", False)], key=str)
+    assert ledger.edges_upserted(stored, df.limit(0), **options).isEmpty()
+
+
+def test_paged_from_a_table(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"items": [{"eid": "1"}, {"eid": " "}], "next_cursor": "n"}))
+    (tmp_path / "a@n.json").write_text(json.dumps({"items": [{"eid": "2"}], "next_cursor": "n"}))
+    tasks = spark.createDataFrame([("a", None), ("lost", "2020-01-01"), (None, "2020-01-01"), ("a", None)], "task string, from_date string")
+    df = paged.paged_from(tasks, str(tmp_path), pause=0, attempts=2, slice=1)
+    assert sorted((r.task, r.page, r.record or "") for r in df.collect()) == [("a", 0, "1"), ("a", 0, "1"), ("a", 1, "2"), ("a", 1, "2"), ("lost", 0, "")]
+    assert paged.paged_from(tasks.limit(0), str(tmp_path)).isEmpty()
