@@ -14,6 +14,8 @@ is given on as a spanning forest of their links, so large groups never become pa
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._store import removed, written
-from ._text import LOWER, NOT_SPACE, Words, buffer_of, with_columns
+from ._text import LOWER, NOT_SPACE, Words, buffer_of, mixed, with_columns
 from ._xxh64 import xxh64
 
 SHINGLE, DISTANCE = 3, 3
@@ -29,11 +31,13 @@ SEGMENTS, BITS = 8, 8
 _BUDGET = [DISTANCE * (k + 1) // SEGMENTS for k in range(SEGMENTS)]
 #: Which two of a chain's segments 2, 3 and 4 are equal.
 _CHOICES = ((2, 3), (2, 4), (3, 4))
-#: Rows that one task compares at a time, on average.
-_SHARD_ROWS = 1 << 17
-#: Groups of a key up to this size are compared all with all; larger ones give a forest, and those
-#: beyond the second are split by a further segment first. The budgets are the same in all.
+#: The bits that each chain's key fixes.
+_FIXED = np.array([sum(0xFF << (BITS * ((start + k) % SEGMENTS)) for k in (0, 1, *choice)) for start in range(SEGMENTS) for choice in _CHOICES], np.uint64)
+#: Groups of a key up to the first size are compared all with all; larger ones give a forest. Beyond the
+#: second, fingerprints get further keys, which fix more bits. The budgets are the same in all.
 _PAIRS, _SCAN = 16, 4096
+#: So few free bits make no more than _SCAN fingerprints.
+_FEW_BITS = 12
 
 
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -75,7 +79,7 @@ def chain_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for start in range(SEGMENTS):
         s = [seg[:, (start + k) % SEGMENTS] for k in range(5)]
         for choice, (a, b) in enumerate(_CHOICES):
-            keys.append(((start * 3 + choice) << 32) | (s[0] << 24) | (s[1] << 16) | (s[a] << 8) | s[b])
+            keys.append(((start * 3 + choice) << 56) | (s[0] << 24) | (s[1] << 16) | (s[a] << 8) | s[b])
     return np.concatenate(keys), np.tile(np.arange(len(fp)), len(keys))
 
 
@@ -86,19 +90,9 @@ def viable(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
     return (np.cumsum(np.take_along_axis(ones, ring, axis=1), axis=1) <= np.array(_BUDGET)).all(axis=1)
 
 
-def _forest(fp: np.ndarray, start: int, free: list[int]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _forest(fp: np.ndarray, start: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that join the same fingerprints of one key as all viable chains from start do."""
-    a, b = [], []
-    if len(fp) > _SCAN and free:  # no more bits may differ than there are free segments less one, so one of those is equal
-        for k in free:
-            part = _segments(fp)[:, k]
-            order = np.argsort(part, kind="stable")
-            for run in np.split(fp[order], np.flatnonzero(np.diff(part[order])) + 1):
-                more = _forest(run, start, [])
-                a += more[0]
-                b += more[1]
-        return a, b
-    rest = fp
+    a, b, rest = [], [], fp
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
@@ -125,13 +119,11 @@ def links_of(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = [], []
     for d in range(1, _PAIRS):
         i = np.flatnonzero((size[:-d] <= _PAIRS) & (key[d:] == key[:-d])) if len(key) > d else np.zeros(0, int)
-        good = viable(fp[i], fp[i + d], (key[i] >> 32) // 3)
+        good = viable(fp[i], fp[i + d], (key[i] >> 56) // 3)
         a.append(fp[i[good]])
         b.append(fp[i[good] + d])
     for h, n in zip(heads[sizes > _PAIRS], sizes[sizes > _PAIRS], strict=True):
-        start, choice = divmod(int(key[h] >> 32), len(_CHOICES))
-        held = {(start + k) % SEGMENTS for k in (0, 1, *_CHOICES[choice])}
-        more = _forest(fp[h : h + n], start, [k for k in range(SEGMENTS) if k not in held])
+        more = _forest(fp[h : h + n], int(key[h] >> 56) // 3)
         a += more[0]
         b += more[1]
     a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
@@ -139,25 +131,81 @@ def links_of(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(fps: DataFrame) -> DataFrame:
+def further_keys(key: np.ndarray, mask: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, mask, fp) with four keys for each, which fix a quarter more of the free bits (mask has the fixed ones).
+    Two fingerprints differ in at most three bits, so they share one of the four. A key
+    holds its chain, how many bits it fixes, and a hash: keys that coincide only make more candidates."""
+    keys = []
+    for fixed in np.unique(mask):
+        at = np.flatnonzero(mask == fixed)
+        free = [k for k in range(64) if not int(fixed) >> k & 1]
+        for part in range(DISTANCE + 1):
+            more = fixed | np.uint64(sum(1 << k for k in free[part :: DISTANCE + 1]))
+            hashed = mixed((fp[at] & more) ^ mixed(np.array([more]))) & np.uint64((1 << 50) - 1)
+            keys.append((at, (key[at] >> 56 << 56) | (int(more).bit_count() << 50) | hashed.astype(np.int64), more))
+    rows = np.concatenate([np.zeros(0, np.int64), *(at for at, _, _ in keys)])
+    masks = np.concatenate([np.zeros(0, np.uint64), *(np.full(len(at), more) for at, _, more in keys)])
+    return np.concatenate([np.zeros(0, np.int64), *(k for _, k, _ in keys)]), masks, fp[rows]
+
+
+def links(fps: DataFrame, *, scan: int = _SCAN) -> DataFrame:
     """Links (a, b) among the distinct values of fps(fp): their components are those of all
-    pairs within the distance."""
-    n = max(1, -(-fps.count() * 3 * SEGMENTS // _SHARD_ROWS))
-    schema = "shard int, key long, fp long"
+    pairs within the distance.
+
+    Spark sorts the keys of a partition, spilling as it must, and they are compared as they stream by. No group is
+    held whole: the rows of a key that has more than scan fingerprints go on, written, to a
+    further round under further keys. Each fixes more bits, so rounds end."""
 
     def keyed(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             key, row = chain_keys(fp)
-            shard = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(key), pa.array(fp[row].view(np.int64))], ["shard", "key", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_FIXED[key >> 56].view(np.int64)), pa.array(fp[row].view(np.int64))], ["key", "mask", "fp"])
 
-    def linked(table: pa.Table) -> pa.Table:
-        key, fp = (table.column(c).to_numpy() for c in ("key", "fp"))
-        a, b = links_of(key, fp.view(np.uint64))
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+    def rekeyed(batches):
+        for batch in batches:
+            key, mask, fp = (c.to_numpy() for c in batch.columns)
+            key, mask, fp = further_keys(key, mask.view(np.uint64), fp.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(mask.view(np.int64)), pa.array(fp.view(np.int64))], ["key", "mask", "fp"])
+
+    def met(batches):
+        """Links as (null, null, a, b), and rows that need further keys as (key, mask, fp, null)."""
+        rest, large = [np.zeros(0, np.int64)] * 3, None  # the last key's rows so far; the last key that was found large
+
+        def out(key, mask, fp):
+            nonlocal large
+            heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sizes = np.diff(np.concatenate([heads, [len(key)]]))
+            many = np.repeat(sizes > scan, sizes)
+            if large is not None:
+                many |= key == large
+            many &= np.bitwise_count(~mask.view(np.uint64)) > _FEW_BITS
+            if many.any():
+                large = key[many][-1]
+            a, b = (x.view(np.int64) for x in links_of(key[~many], fp[~many].view(np.uint64)))
+            none, nothing = pa.nulls(len(a), pa.int64()), pa.nulls(int(many.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(a), pa.array(b)], ["key", "mask", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(mask[many]), pa.array(fp[many]), nothing], ["key", "mask", "a", "b"])
 
-    return fps.select("fp").mapInArrow(keyed, schema).groupBy("shard").applyInArrow(linked, "a long, b long")
+        for batch in batches:
+            rows = [np.concatenate([old, c.to_numpy()]) for old, c in zip(rest, batch.columns, strict=True)]
+            last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            if len(rows[0]) - last > scan and int(~rows[1].view(np.uint64)[-1]).bit_count() > _FEW_BITS or last < len(rows[0]) and rows[0][-1] == large:
+                last = len(rows[0])  # it is large already: its rows needn't wait
+            if last:
+                yield from out(*(c[:last] for c in rows))
+            rest = [c[last:] for c in rows]
+        if len(rest[0]):
+            yield from out(*rest)
+
+    keys, found = fps.select("fp").mapInArrow(keyed, "key long, mask long, fp long"), []
+    while True:
+        rows = keys.repartition("key").sortWithinPartitions("key").mapInArrow(met, "key long, mask long, a long, b long")
+        found.append(written(rows, "key-links"))
+        crowded = found[-1].where("key is not null").select("key", "mask", F.col("a").alias("fp"))
+        if crowded.isEmpty():
+            return reduce(DataFrame.unionByName, [x.where("key is null").select("a", "b") for x in found])
+        keys = crowded.mapInArrow(rekeyed, "key long, mask long, fp long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -198,7 +246,9 @@ def clustered(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ui
     made = with_columns(named, "text", [T.StructField("fp", T.LongType())], lambda batch: [pa.array(fingerprints(batch.column(batch.schema.get_field_index("text"))).view(np.int64))])
     marked = written(made.select("doc_id", "fp", *own[:1]), "fingerprints")
     fps = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(fps)).withColumnRenamed("node", "fp")
+    near = links(fps)
+    roots = components(near).withColumnRenamed("node", "fp")
+    removed(near)
     rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = written(rooted.join(named, "root").select("fp", "component_id", *own[1:]), "components")

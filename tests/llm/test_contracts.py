@@ -237,20 +237,47 @@ def test_op9_in_dense_groups(spark, n, flips):
     a, b = simhash.links_of(*(lambda key, row: (key, fps[row]))(*simhash.chain_keys(fps)))
     assert (np.bitwise_count(a ^ b) <= 3).all()
 
-    def least(edges):
-        root = np.arange(len(fps))
-        for x, y in edges:
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            while root[y] != y:
-                root[y] = y = root[root[y]]
-            root[max(x, y)] = min(x, y)
-        for i in range(len(root)):
-            root[i] = root[root[i]]
-        return root.tolist()
-
-    pairs = [(i, i + 1 + j) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3).tolist()]
-    assert least(zip(np.searchsorted(fps, a).tolist(), np.searchsorted(fps, b).tolist(), strict=True)) == least(pairs)
+    assert joined(fps, a, b) == joined(fps, *close_pairs(fps))
+
+
+def close_pairs(fps):
+    pairs = [(x, y) for i, x in enumerate(fps) for y in fps[i + 1 :][np.bitwise_count(fps[i + 1 :] ^ x) <= 3]]
+    return np.array(pairs, np.uint64).reshape(-1, 2).T
+
+
+def joined(fps, a, b):
+    """The least of each fingerprint's component, by place."""
+    root = np.arange(len(fps))
+    for x, y in zip(np.searchsorted(fps, a).tolist(), np.searchsorted(fps, b).tolist(), strict=True):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        root[max(x, y)] = min(x, y)
+    for i in range(len(root)):
+        root[i] = root[root[i]]
+    return root.tolist()
+
+
+@pytest.mark.parametrize(("scan", "batch"), [(16, 100), (200, 7), (4096, 10_000)])
+def test_op9_in_crowded_keys(spark, scan, batch):
+    """Keys with more fingerprints than a task compares go on under further keys, wherever batches end."""
+    rng = np.random.default_rng(scan)
+    fps = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    for centre, bits, n in ((0x0123456789ABCDEF, 22, 1500), (0xFEDCBA9876543210, 64, 800)):
+        more = np.full(n, centre, np.uint64)
+        for _ in range(5):
+            more ^= np.uint64(1) << rng.integers(0, bits, n).astype(np.uint64)
+        fps = np.concatenate([fps, more])
+    fps = np.unique(fps)
+    table = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        rows = np.array([(r.a, r.b) for r in simhash.links(table, scan=scan).collect()], np.int64).view(np.uint64)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert (np.bitwise_count(rows[:, 0] ^ rows[:, 1]) <= 3).all()
+    assert joined(fps, rows[:, 0], rows[:, 1]) == joined(fps, *close_pairs(fps))
 
 
 def test_op10(spark, where):
