@@ -1,6 +1,6 @@
 """The contract queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, lm, mixing, pii, quality, quality_rules, simhash, substrings, toxicity, url_filter
+from . import audit, collocations, decontaminate, lines, lm, mixing, pii, quality, quality_rules, simhash, substrings, toxicity, url_filter
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_mix": mixing.op10_mix,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_line_dedup": lines.op13_line_dedup,
 }
 
 ORACLE_SQL = {
@@ -20,4 +23,7 @@ ORACLE_SQL = {
     "op5_decontaminate": decontaminate.ORACLE,
     "op8_substring_dedup": substrings.ORACLE,
     "op10_mix": mixing.ORACLE,
+    "op11_filter_audit": audit.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+    "op13_line_dedup": lines.ORACLE,
 }

@@ -140,3 +140,71 @@ def lm_scores(docs, alpha=0.4, order=2, own=1):
 
     for w in every:
         yield len(w), sum(math.log10(score(tuple(w[max(0, i - order + 1) : i + 1]))) for i in range(len(w)))
+
+
+def kept_lines(docs, min_chars=10, least=2):
+    """docs: [(id, text)]. Yields (n_lines, n_dropped, kept text); rows without id are one document, after all others."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(UPPER)
+    rank = lambda i: (i is None, i or 0)
+    holders = {}
+    for i, t in docs:
+        for line in (t or "").split("\n"):
+            holders.setdefault(key(line), set()).add(rank(i))
+    for i, t in docs:
+        lines = (t or "").split("\n")
+        gone = [len(key(x)) >= min_chars and len(holders[key(x)]) >= least and min(holders[key(x)]) != rank(i) for x in lines]
+        yield len(lines), sum(gone), "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
+
+
+def audit(docs, labels):
+    """docs: [(id, text, source)], labels: [(id, quality, toxic)]. Rows of every part, order and step."""
+    from itertools import permutations
+
+    firsts = {}
+    for i, t, _ in docs:
+        if i is not None:
+            firsts[t or ""] = min(i, firsts.get(t or "", i))
+    good, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, x in labels if x == 1 and i is not None}
+    parts = {}
+    for i, t, s in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        fails = "".join(c for c, f in zip("ABCDE", [len(w) < 50, 100 * len(set(w)) < 65 * len(w), 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), bool(re.search("[#$%&*|]", t)), i is not None and firsts[t] < i], strict=True) if f)
+        parts.setdefault(s or "", []).append((fails, i in good, i in toxic))
+    orders = ["".join(o) for o in permutations("ABCDE")]
+    for part, rows in parts.items():
+        out, total = {}, Counter()
+        for o in orders:
+            left = rows
+            for step, f in enumerate(o, 1):
+                lost, earlier = [r for r in left if f in r[0]], [r for r in rows if f in r[0] and any(x in r[0] for x in o[: step - 1])]
+                left = [r for r in left if f not in r[0]]
+                total[f] += len(lost)
+                out[o, step] = (len(left), len(lost), len(earlier), sum(r[0] == f for r in rows), sum(r[1] for r in lost), sum(r[2] for r in lost))
+        for (o, step), x in out.items():
+            yield (part, o, step, *x, total[o[step - 1]])
+
+
+def collocations(docs, least=30, longest=4, cover=80, top=2000):
+    """docs: [(text, lang)]. Rows (lang, rank, phrase, a, l, r, n, score)."""
+    f, sizes = {}, Counter()
+    for t, lang in docs:
+        c = f.setdefault(lang if lang is not None else "und", Counter())
+        for piece in re.split("[.,;:!?\x0a-\x0d]", (t or "").translate(UPPER)):
+            w = re.findall("[^\x20\x09]+", piece)
+            sizes[lang if lang is not None else "und"] += len(w)
+            c.update(tuple(w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1))
+    for lang, c in f.items():
+        candidates = {p: n for p, n in c.items() if len(p) > 1 and n >= least}
+        most = Counter()
+        for p, n in candidates.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    most[p[i : i + k]] = max(most[p[i : i + k]], n)
+        rows = []
+        for p, a in candidates.items():
+            score, _, left, right = min((2_000_000 * a // (c[p[:k]] + c[p[k:]]), k, c[p[:k]], c[p[k:]]) for k in range(1, len(p)))
+            if not 100 * most[p] >= cover * a:
+                rows.append((-score, -a, " ".join(p).encode(), left, right))
+        for rank, (score, a, p, left, right) in enumerate(sorted(rows)[:top], 1):
+            yield lang, rank, p.decode(), -a, left, right, sizes[lang], -score
