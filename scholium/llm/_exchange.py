@@ -81,12 +81,15 @@ class Exchange:
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, *, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES, fan: int = FAN):
         size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
-        self.n_blocks, self.fan = max(1, -(-size // block_bytes)), fan
+        self.size_up(size, max(1, -(-size // block_bytes)), part_bytes, fan)
+        named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("uid"))
+        self.blocks = named.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(self.n_blocks)))
+
+    def size_up(self, size: int, n_blocks: int, part_bytes: int, fan: int) -> None:
+        self.n_blocks, self.fan = n_blocks, fan
         self.fine = max(4, (size // part_bytes).bit_length())
         #: Bits at the first level: with groups of blocks, no more parts than blocks in a group.
         self.bits = self.fine if self.n_blocks <= fan else min(self.fine, max(1, fan.bit_length() - 1))
-        named = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("uid"))
-        self.blocks = named.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(self.n_blocks)))
 
     def __getstate__(self) -> dict:
         """Tasks get the numbers alone."""
@@ -145,7 +148,7 @@ class Exchange:
         """settle: gets a block, its rows and the answers by part."""
 
         def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-            return settle(key[0].as_py(), left.sort_by("uid"), dict(zip(right.column("part").to_pylist(), right.column("answer").to_pylist(), strict=True)))
+            return settle(key[0].as_py(), left.sort_by("uid") if "uid" in left.column_names else left, dict(zip(right.column("part").to_pylist(), right.column("answer").to_pylist(), strict=True)))
 
         return self.blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 

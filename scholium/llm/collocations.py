@@ -1,7 +1,7 @@
 """Phrases whose words stand together more often than their parts foretell.
 
 Texts are cut into pieces at punctuation and equal pieces of a language are kept once, with their
-multiplicity. Blocks of pieces ask the parts of a hashed key space how often their words and pairs
+multiplicity, packed in blocks. Blocks of pieces ask the parts of a hashed key space how often their words and pairs
 occur, then how often those longer phrases do of which every pair is frequent; answers are one bit
 a key. So blocks know which phrases can be frequent, and send those alone, as text with their weights, to hash
 buckets, where duckdb sums them, on disk if need be. These sums are exact; hashes only ever let too
@@ -12,20 +12,24 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._exchange import Exchange, grouped, pack, pack_sorted, questions_table, unpack
+from ._exchange import BLOCK_BYTES, FAN, PART_BYTES, Exchange, grouped, pack, pack_sorted, questions_table, unpack
 from ._store import removed, written
 from ._text import RollingHash, Words, buffer_of, lowered, mixed, word_hashes
+from ._text import pieces as slices
 
 LONGEST, LEAST, COVER, TOP = 4, 30, 80, 2000
 UNKNOWN = "und"
 #: Of duckdb in a task, before it works on disk.
 MEMORY_MB, MOST_BUCKETS = 192, 8192
+BATCH = 500_000
 _WORD = ~np.isin(np.arange(256), [0x20, 0x09])
 _KEPT: list[RollingHash] = []
 
@@ -41,20 +45,54 @@ def pieces(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFr
     return cut.select("lang", piece.alias("piece")).where("piece <> ''").select("lang", one.alias("piece")).groupBy("lang", "piece").agg(F.count("*").alias("times"))
 
 
+PACKED = "block long, size long, langs array<string>, ends array<int>, pieces binary, sizes binary, times binary"
+
+
+def packed(pieces: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """pieces(lang, piece, times), as a row for about every block_bytes of text: languages in order, up to which
+    piece each goes, the texts end to end, their sizes and multiplicities."""
+
+    def row(parts: list[pa.Table]) -> dict:
+        table = pa.concat_tables(parts).combine_chunks().sort_by("lang")
+        buf, offsets = buffer_of(table.column("piece"))
+        langs = table.column("lang").to_pylist()
+        heads = [i for i, x in enumerate(langs) if not i or x != langs[i - 1]]
+        return {"size": len(buf), "langs": [langs[i] for i in heads], "ends": [*heads[1:], len(langs)], "pieces": buf.tobytes(), "sizes": np.diff(offsets).astype("<u4").tobytes(), "times": pack(table.column("times").to_numpy().astype(np.uint64))}
+
+    kind = pa.schema([("size", pa.int64()), ("langs", pa.list_(pa.string())), ("ends", pa.list_(pa.int32())), *((c, pa.binary()) for c in ("pieces", "sizes", "times"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, total = [], 0
+        for batch in batches:
+            for piece in slices(batch, "piece", block_bytes):
+                parts.append(pa.Table.from_batches([piece]))
+                total += parts[-1].column("piece").nbytes
+                if total >= block_bytes:
+                    yield pa.RecordBatch.from_pylist([row(parts)], kind)
+                    parts, total = [], 0
+        if parts:
+            yield pa.RecordBatch.from_pylist([row(parts)], kind)
+
+    made = pieces.select("lang", "piece", "times").mapInArrow(run, PACKED.split(", ", 1)[1])
+    return made.select(F.monotonically_increasing_id().alias("block"), "*")
+
+
 class _Phrases:
     """The pieces of a block: of each length the first words and hashes of all phrases, and the pieces' weights."""
 
     def __init__(self, table: pa.Table):
-        who = table.column("doc_id").combine_chunks()
+        row = {c: table.column(c)[0] for c in table.column_names}
         if not _KEPT:
             _KEPT.append(RollingHash(12))
-        buf, offsets = buffer_of(table.column("text"))
-        tongues, at = buffer_of(who.field("lang"))
-        self.langs = who.field("lang")
-        self.times = who.field("times").to_numpy()
-        self.words = w = Words(buf, offsets, _WORD)
+        self.times = unpack(row["times"].as_py())
+        self.langs = row["langs"].as_py()
+        offsets = np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"].as_py(), "<u4"), dtype=np.int64)])
+        self.words = w = Words(np.frombuffer(row["pieces"].as_py(), np.uint8), offsets, _WORD)
         self.of = w.text_of_word()
-        self.h = mixed(w.hashes(12) ^ mixed(word_hashes(tongues, at[:-1], at[1:], 13))[self.of])
+        #: Each piece's language, by its place among the block's.
+        self.tongue = np.repeat(np.arange(len(self.langs)), np.diff(row["ends"].as_py(), prepend=0))
+        names, at = buffer_of(pa.array(self.langs, pa.string()))
+        self.h = mixed(w.hashes(12) ^ mixed(word_hashes(names, at[:-1], at[1:], 13))[self.tongue[self.of]])
 
     def of_length(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of the phrases of k words."""
@@ -66,7 +104,7 @@ class _Phrases:
     def questions(self, block: int, at: np.ndarray, hashes: np.ndarray, ex: Exchange) -> list[tuple]:
         first, of = grouped(hashes, None)
         n = np.zeros(len(first), np.uint64)
-        np.add.at(n, of, self.times[self.of[at]].astype(np.uint64))
+        np.add.at(n, of, self.times[self.of[at]])
         keys = hashes[first]
         return [(p, block, pack_sorted(keys[s]), b"", pack(n[s])) for p, s in ex.split(keys)]
 
@@ -92,20 +130,28 @@ def _chained(good: np.ndarray, at: np.ndarray, pair_at: np.ndarray, n: int, k: i
     return out
 
 
-def counts(pieces: DataFrame, *, least: int = LEAST, longest: int = LONGEST, memory_mb: int = MEMORY_MB, **sizes_of_blocks) -> DataFrame:
-    """(lang, phrase, words, n) of every phrase of up to ``longest`` words that occurs at least so often in pieces(lang, piece, times).
+class Blocks(Exchange):
+    """Blocks that are packed already."""
+
+    def __init__(self, blocks: DataFrame, *, part_bytes: int = PART_BYTES, fan: int = FAN):
+        size, n = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+        self.size_up(size, max(1, n), part_bytes, fan)
+        self.blocks = blocks
+
+
+def counts(blocks: DataFrame, *, least: int = LEAST, longest: int = LONGEST, memory_mb: int = MEMORY_MB, **sizes) -> DataFrame:
+    """(lang, phrase, words, n) of every phrase of up to ``longest`` words that occurs at least so often in the blocks of packed().
 
     Counts are exact 64-bit sums; an empty table gives an empty one; a very long piece is worked
     on whole, with its block. Memory follows a block and duckdb's bound."""
-    named = pieces.select(F.struct("lang", "times").alias("who"), F.col("piece"))
-    ex = Exchange(named, "who", "piece", **sizes_of_blocks)
+    ex = Blocks(blocks, **sizes)
     buckets = min(1 << ex.fine, MOST_BUCKETS)
 
     def frequent(n: np.ndarray) -> bytes:
         return np.packbits(n >= least).tobytes()
 
     def asked(key: tuple, table: pa.Table) -> pa.Table:
-        p = _Phrases(table.sort_by("uid"))
+        p = _Phrases(table)
         (a, h), (b, g) = p.of_length(1), p.of_length(2)
         return questions_table(p.questions(key[0].as_py(), np.concatenate([a, b]), np.concatenate([h, g]), ex))
 
@@ -143,47 +189,63 @@ def counts(pieces: DataFrame, *, least: int = LEAST, longest: int = LONGEST, mem
 
     pairs = level(ex.blocks.groupBy("block").applyInArrow(asked, "part long, block long, keys binary, second binary, n binary"))
     every = level(ex.met(pairs, longer, "part long, block long, keys binary, second binary, n binary"))
-    texts = ex.met(every, sent, "bucket int, lang string, words int, phrases binary, n binary")
+    texts = ex.met(every, sent, "bucket int, lang string, phrases binary, sizes binary, n binary")
     return texts.repartition(buckets, "bucket").mapInArrow(lambda batches: _summed(batches, least, memory_mb), "lang string, phrase string, words int, n long")
 
 
 def _spelt(p: _Phrases, chosen: list[tuple[np.ndarray, int]], buckets: int) -> pa.Table:
-    """The distinct phrases chosen, as text in order with their weights; a row for each bucket, language and length."""
-    rows, raw = [], p.words.buf.tobytes()
+    """The distinct phrases chosen, as text in order with their weights; a row for each bucket and language."""
+    heads, tails, sums, keys = [], [], [], []
     for at, k in chosen:
-        if not len(at):
-            continue
         every, hashes = p.of_length(k)
-        place = np.searchsorted(every, at)
-        first, of = grouped(hashes[place], None)
+        own = hashes[np.searchsorted(every, at)]
+        first, of = grouped(own, None)
         n = np.zeros(len(first), np.uint64)
-        np.add.at(n, of, p.times[p.of[at]].astype(np.uint64))
-        heads, keys = at[first], hashes[place][first]
-        dealt = (keys % np.uint64(buckets)).astype(np.int64)
-        tongue = p.langs.take(pa.array(p.of[heads])).to_pylist()
-        spans = list(zip(p.words.start[heads].tolist(), p.words.end[heads + k - 1].tolist(), strict=True))
-        groups: dict[tuple, list] = {}
-        for i, (bucket, lang) in enumerate(zip(dealt.tolist(), tongue, strict=True)):
-            groups.setdefault((bucket, lang), []).append(i)
-        for (bucket, lang), own in groups.items():
-            said = sorted((raw[slice(*spans[i])], i) for i in own)
-            rows.append((bucket, lang, k, b"\n".join(x for x, _ in said), pack(n[[i for _, i in said]])))
-    bucket, lang, words, phrases, n = zip(*rows, strict=True) if rows else ((),) * 5
-    return pa.table({"bucket": pa.array(bucket, pa.int32()), "lang": pa.array(lang, pa.string()), "words": pa.array(words, pa.int32()), "phrases": pa.array(phrases, pa.binary()), "n": pa.array(n, pa.binary())})
-
-
-def _summed(batches, least: int, memory_mb: int):
+        np.add.at(n, of, p.times[p.of[at]])
+        for out, x in ((heads, at[first]), (tails, at[first] + k - 1), (sums, n), (keys, own[first])):
+            out.append(x)
+    head, tail, n, key = (np.concatenate(x) for x in (heads, tails, sums, keys))
+    begin, size = p.words.start[head], p.words.end[tail] - p.words.start[head]
+    ends = np.cumsum(size)
+    data = p.words.buf[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+    phrases = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i8")), pa.py_buffer(data)])
+    tongues = p.langs
+    group = (key % np.uint64(buckets)).astype(np.int64) * len(tongues) + p.tongue[p.of[head]]
+    order = pa.compute.sort_indices(pa.table({"group": group, "phrase": phrases}), [("group", "ascending"), ("phrase", "ascending")]).to_numpy()
+    told, size, n, group = phrases.take(pa.array(order)), size[order].astype("<u4"), n[order], group[order]
+    at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    raw = memoryview(told.buffers()[2]) if len(told) else b""
+    cuts = np.flatnonzero(np.diff(group, prepend=-1))
+    rows = [(int(group[a]) // len(tongues), tongues[group[a] % len(tongues)], bytes(raw[at[a] : at[b]]), size[a:b].tobytes(), pack(n[a:b])) for a, b in zip(cuts, [*cuts[1:], len(group)] if len(cuts) else [], strict=True)]
+    names, kinds = ("bucket", "lang", "phrases", "sizes", "n"), (pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(names, kinds, strict=True))})
+
+
+def _phrases_of(batches) -> Iterator[pa.Table]:
+    """(lang, phrase, n) from rows of _spelt, in tables of BATCH phrases or more."""
+    parts, total = [], 0
+    for batch in batches:
+        for lang, phrases, sizes, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrases", "sizes", "n")), strict=True):
+            at = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)])
+            said = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(phrases)])
+            parts.append(pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(said)), "phrase": said, "n": pa.array(unpack(n))}))
+            total += len(said)
+            if total >= BATCH:
+                yield pa.concat_tables(parts)
+                parts, total = [], 0
+    if parts:
+        yield pa.concat_tables(parts)
+
+
+def _summed(batches, least: int, memory_mb: int) -> Iterator[pa.RecordBatch]:
     """Sums of all phrases that come to this task, in duckdb, which works in the task's own folder beyond its memory."""
     import duckdb
 
     with tempfile.TemporaryDirectory() as folder, duckdb.connect(os.path.join(folder, "phrases"), config={"memory_limit": f"{memory_mb}MB", "threads": 1, "temp_directory": os.path.join(folder, "spill"), "preserve_insertion_order": "false"}) as db:
-        db.execute("CREATE TABLE t (lang VARCHAR, words INTEGER, phrase VARCHAR, n UBIGINT)")
-        for batch in batches:
-            for lang, words, phrases, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "words", "phrases", "n")), strict=True):
-                said = pa.array(phrases.split(b"\n"), pa.binary()).cast(pa.string())
-                rows = pa.table({"lang": pa.array([lang] * len(said), pa.string()), "words": pa.array(np.full(len(said), words, np.int32)), "phrase": said, "n": pa.array(unpack(n))})  # noqa: F841
-                db.execute("INSERT INTO t SELECT * FROM rows")
-        found = db.sql(f"SELECT lang, phrase, words, sum(n)::BIGINT n FROM t GROUP BY ALL HAVING sum(n) >= {least}").to_arrow_reader(100_000)
+        db.execute("CREATE TABLE t (lang VARCHAR, phrase VARCHAR, n UBIGINT)")
+        for rows in _phrases_of(batches):  # noqa: B007  (duckdb finds rows by its name)
+            db.execute("INSERT INTO t SELECT * FROM rows")
+        found = db.sql(f"SELECT lang, phrase, (len(phrase) - len(replace(phrase, ' ', '')) + 1)::INTEGER words, sum(n)::BIGINT n FROM t GROUP BY lang, phrase HAVING sum(n) >= {least}").to_arrow_reader(100_000)
         for batch in found:
             yield batch.cast(pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("n", pa.int64())]))
 
@@ -216,18 +278,31 @@ def uncovered(candidates: DataFrame, *, cover: int = COVER) -> DataFrame:
     return candidates.join(most, ["lang", "phrase"], "left").where(F.col("most").isNull() | (_exact("most") * 100 < _exact("a") * cover)).drop("most")
 
 
-def mined(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, cover: int = COVER, top: int = TOP, **options) -> DataFrame:
+def _sizes(blocks: DataFrame) -> DataFrame:
+    """(lang, n): how many words each language has."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                p = _Phrases(pa.Table.from_batches([batch.slice(i, 1)]))
+                n = np.zeros(len(p.langs), np.uint64)
+                np.add.at(n, p.tongue, p.times * p.words.counts.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(p.langs, pa.string()), pa.array(n.astype(np.int64))], ["lang", "n"])
+
+    return blocks.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+def mined(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, cover: int = COVER, top: int = TOP, block_bytes: int = BLOCK_BYTES, **options) -> DataFrame:
     """The best collocations of each language: lang, rank, phrase, a (its count), l and r (its parts' counts), n (all words of the
     language) and score, floor(2000000 a / (l + r)) of its lowest cut.
 
     A null language is ``und``; a null or wordless text has no pieces; rows that repeat count each; ties of score
     and count go by the phrase's bytes; an empty table gives an empty one. Very long texts are cut in Spark; a very long
     piece is one row. Only the two columns are read."""
-    cut = written(pieces(docs, text=text, lang=lang), "phrase-pieces")
-    sizes = cut.groupBy("lang").agg(F.sum(F.col("times") * (F.length("piece") - F.length(F.translate("piece", " ", "")) + 1)).alias("n"))
-    counted = written(counts(cut, least=least, longest=longest, **options), "phrase-counts")
-    sizes = written(sizes, "phrase-sizes")
-    removed(cut)
+    blocks = written(packed(pieces(docs, text=text, lang=lang), block_bytes), "phrase-blocks", compression="zstd")
+    sizes = written(_sizes(blocks), "phrase-sizes")
+    counted = written(counts(blocks, least=least, longest=longest, **options), "phrase-counts")
+    removed(blocks)
     best = uncovered(scored(counted), cover=cover)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     # First within 64 shares of a language, so no task gets all of it.
