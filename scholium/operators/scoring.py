@@ -1,8 +1,8 @@
 """Scoring strategies: each gives every item its best score among its forum's categories and years.
 
-Facts are long: (journal, year, category, metric, value, quarter, rank). An item is exploded to
-its candidate years, joined once to its journal's facts, and folded by one max_by per item, so all items
-of all researchers are scored by one plan.
+Facts are long: (journal, year, category, metric, value, quarter, rank). They are reduced to the best
+of each journal and year, then to the best of each (journal, year, window) that items ask for, and only then joined
+to items: so the join has a row per item, and what it joins to is as many rows as there are journals and years.
 """
 
 from __future__ import annotations
@@ -37,35 +37,39 @@ def eligible(category: Column, domain: list[str] | None) -> Column:
     return listed & (index.contains("SCIE") | index.contains("SSCI"))
 
 
-def candidates(items: DataFrame, facts: DataFrame, *, window: str, this_year: int, domain: list[str] | None, subtypes: tuple[str, ...] = ("ar", "re")) -> DataFrame:
-    """(item, year, category, metric, value, quarter, rank) for all eligible facts of an item's journal and years.
-    items: item, journal, year, subtype."""
-    asked = items.where(F.col("subtype").isin(*subtypes)).select("item", "journal", F.explode(allowed_years(window, F.col("year"), this_year, LAST_YEAR)).alias("year"))
-    return asked.join(facts.where(eligible(F.col("category"), domain)), ["journal", "year"])
+def judged(facts: DataFrame, domain: list[str] | None) -> DataFrame:
+    """The facts of categories that are of the domain, in an index that counts."""
+    return facts.where(eligible(F.col("category"), domain))
 
 
-def best(items: DataFrame, scored: DataFrame, *, prefer: list[Column] = ()) -> DataFrame:
-    """items with score, score_year, category and quarter of the best of scored (item, score, year,
-    category, quarter): the most score to 8 decimals, then prefer, then the lesser quarter. Zero never wins; without any: 0 and NOT_FOUND."""
-    order = F.struct(F.round("score", 8), *prefer, -F.coalesce(F.regexp_extract("quarter", "[0-9]", 0).try_cast("int"), F.lit(9)), F.col("year"), F.col("category"))
-    won = scored.where("score > 0").groupBy("item").agg(F.max_by(F.struct("score", "year", "category", "quarter"), order).alias("s"))
-    return items.join(won, "item", "left").select(*items.columns, F.coalesce("s.score", F.lit(0.0)).alias("score"), F.col("s.year").alias("score_year"), F.col("s.category").alias("category"), F.coalesce("s.quarter", F.lit("NOT_FOUND")).alias("quarter"))
+def best(items: DataFrame, scored: DataFrame, *, window: str, this_year: int, prefer: list[Column] = (), subtypes: tuple[str, ...] = ("ar", "re")) -> DataFrame:
+    """items (item, journal, year, subtype) with score, score_year, category and quarter of the best of scored (journal, year,
+    category, score, quarter) in their journal and their window's years: the most score to 8 decimals, then prefer, then the lesser
+    quarter, the later year, the greater category. Zero never wins; without any, and for other subtypes: 0 and NOT_FOUND.
+
+    The order is total but for equal rows, so the best of a window is the best of its years' best ones."""
+    order = F.struct(F.round("score", 8).alias("o"), *prefer, (-F.coalesce(F.regexp_extract("quarter", "[0-9]", 0).try_cast("int"), F.lit(9))).alias("q"), F.col("year"), F.col("category"))
+    each = scored.where("score > 0").groupBy("journal", F.col("year").alias("_at")).agg(F.max(F.struct(order.alias("order"), F.struct("score", "year", "category", "quarter").alias("s"))).alias("_b"))
+    asked = items.where(F.col("subtype").isin(*subtypes)).select("journal", "year").distinct()
+    years = asked.select("journal", "year", F.explode(allowed_years(window, F.col("year"), this_year, LAST_YEAR)).alias("_at"))
+    won = years.join(each, ["journal", "_at"]).groupBy("journal", "year").agg(F.max("_b").alias("_b"))
+    joined = items.join(won, ["journal", "year"], "left").withColumn("_s", F.when(F.col("subtype").isin(*subtypes), F.col("_b.s")))
+    return joined.select(*(items[c] for c in items.columns), F.coalesce("_s.score", F.lit(0.0)).alias("score"), F.col("_s.year").alias("score_year"), F.col("_s.category").alias("category"), F.coalesce("_s.quarter", F.lit("NOT_FOUND")).alias("quarter"))
 
 
 def metric(items: DataFrame, facts: DataFrame, name: str, *, quarter_of: str | None = None, window: str = "IY", this_year: int = LAST_YEAR, domain: list[str] | None = None) -> DataFrame:
     """A metric's value; its quarter, or that of another metric in the same category and year (null-safe)."""
-    every = candidates(items, facts, window=window, this_year=this_year, domain=domain)
-    found = every.groupBy("item", "year", "category").agg(F.max(F.when(F.col("metric") == name, F.col("value"))).alias("score"), F.min(F.when(F.col("metric") == (quarter_of or name), F.col("quarter"))).alias("quarter"))
-    return best(items, found)
+    found = judged(facts, domain).groupBy("journal", "year", "category").agg(F.max(F.when(F.col("metric") == name, F.col("value"))).alias("score"), F.min(F.when(F.col("metric") == (quarter_of or name), F.col("quarter"))).alias("quarter"))
+    return best(items, found, window=window, this_year=this_year)
 
 
 def journal_points(items: DataFrame, facts: DataFrame, cuts: DataFrame, *, window: str = "IY", this_year: int = LAST_YEAR, domain: list[str] | None = None) -> DataFrame:
     """Points of a quarter, more for ranks under the cut of (category, year); a journal
     with an eid and no points gets 2. items also has eid; cuts: category, year, cut."""
-    every = candidates(items, facts.where("metric = 'AIS'"), window=window, this_year=this_year, domain=domain).join(cuts, ["category", "year"], "left")
+    every = judged(facts.where("metric = 'AIS'"), domain).join(cuts, ["category", "year"], "left")
     inside = F.coalesce(F.col("rank") < F.coalesce("cut", F.lit(0)), F.lit(False))
     scored = every.withColumn("score", F.when(inside, points(F.col("quarter"), {q: p[0] for q, p in QUARTER_POINTS.items()})).otherwise(points(F.col("quarter"), {q: p[1] for q, p in QUARTER_POINTS.items()})))
-    out = best(items, scored)
+    out = best(items, scored, window=window, this_year=this_year)
     fallback = (F.col("score") == 0) & F.col("eid").isNotNull() & F.col("subtype").isin("ar", "re")
     return out.withColumns({"score": F.when(fallback, 2.0).otherwise(F.col("score")), "score_year": F.when(fallback, LAST_YEAR).otherwise(F.col("score_year")), "quarter": F.when(fallback, "SCOPUS").otherwise(F.col("quarter"))}).withColumn("points_category", text.points_category(F.col("score")))
 
@@ -99,11 +103,10 @@ def publisher_points(items: DataFrame, publishers: DataFrame, *, table: dict = P
 
 def economics(items: DataFrame, facts: DataFrame, *, core: list[str], informatics: list[str], window: str = "IY", this_year: int = LAST_YEAR) -> DataFrame:
     """AIS, and of equal ones that with the larger multiplier, which is given as m."""
-    every = candidates(items, facts.where("metric = 'AIS'"), window=window, this_year=this_year, domain=None)
+    every = judged(facts.where("metric = 'AIS'"), None)
     name = text.category_name(F.col("category"))
     every = every.withColumn("m", F.when(name.isin(core), 10).when(name.isin(informatics), 8).otherwise(6)).withColumn("score", F.col("value"))
-    out = best(items, every, prefer=[F.col("m")])
-    name = text.category_name(F.col("category"))
+    out = best(items, every, window=window, this_year=this_year, prefer=[F.col("m")])
     return out.withColumn("m", F.when(F.col("category").isNotNull(), F.when(name.isin(core), 10).when(name.isin(informatics), 8).otherwise(6)))
 
 
@@ -112,21 +115,23 @@ def classification(items: DataFrame, facts: DataFrame, *, compat: bool = False)
     compat (Q7): only a journal's first category, by name, is judged in the item's year, all others in the last year."""
     index = F.upper(text.first_dash_index(F.col("category")))
     article, paper, chapter = F.col("subtype").isin("ar", "re"), F.col("subtype") == "cp", F.col("subtype").isin("ch", "bk")
-    years = items.withColumn("year", F.least("year", F.lit(LAST_YEAR)))
-    ais = facts.where("metric = 'AIS'")
+    flagged = {
+        **{q.lower(): F.col("quarter").eqNullSafe(q) & (index.contains("SCIE") | index.contains("SSCI")) for q in QUARTER_POINTS},
+        "esci": index.contains("ESCI"), "ahci": index.contains("AHCI"), "erih": ~index.contains("ESCI") & ~index.contains("AHCI"),
+    }
+    ais, due = facts.where("metric = 'AIS'"), F.least("year", F.lit(LAST_YEAR))
     if compat:
         first = ais.groupBy("journal").agg(F.min("category").alias("_first"))
-        due = years.where(article).join(first, "journal").withColumn("_at", F.explode(F.array_distinct(F.array("year", F.lit(LAST_YEAR)))))
-        judged = due.join(ais.withColumnRenamed("year", "_at"), ["journal", "_at"]).where(F.col("_at") == F.when(F.col("category") == F.col("_first"), F.col("year")).otherwise(LAST_YEAR))
+        each = ais.join(first, "journal").groupBy("journal", F.col("year").alias("_at"), (F.col("category") == F.col("_first")).alias("_is_first")).agg(*(F.bool_or(f).alias(k) for k, f in flagged.items()))
+        asked = items.where(article).select("journal", due.alias("_due")).distinct().withColumn("_at", F.explode(F.array_distinct(F.array("_due", F.lit(LAST_YEAR)))))
+        met = asked.join(each, ["journal", "_at"]).where(F.col("_at") == F.when(F.col("_is_first"), F.col("_due")).otherwise(LAST_YEAR))
+        found = met.groupBy("journal", "_due").agg(*(F.bool_or(k).alias(k) for k in flagged))
     else:
-        judged = years.where(article).join(ais, ["journal", "year"])
-    found = judged.groupBy("item").agg(
-        *(F.bool_or(F.col("quarter").eqNullSafe(q) & (index.contains("SCIE") | index.contains("SSCI"))).alias(q.lower()) for q in QUARTER_POINTS),
-        F.bool_or(index.contains("ESCI")).alias("esci"), F.bool_or(index.contains("AHCI")).alias("ahci"), F.bool_or(~index.contains("ESCI") & ~index.contains("AHCI")).alias("erih"),
-    )
+        found = ais.groupBy("journal", F.col("year").alias("_due")).agg(*(F.bool_or(f).alias(k) for k, f in flagged.items()))
     flags = ["q1", "q2", "q3", "q4", "esci", "ahci", "erih"]
     name = F.upper(F.coalesce("forum_name", F.lit("")))
-    return items.join(found, "item", "left").withColumns({f: F.coalesce(f, F.lit(False)) for f in flags}).withColumns(
+    joined = items.withColumn("_due", due).join(found, ["journal", "_due"], "left").select(*(items[c] for c in items.columns), *flags)
+    return joined.withColumns({f: F.coalesce(F.col(f) & article, F.lit(False)) for f in flags}).withColumns(
         {"ieee": paper & name.contains("IEEE"), "isi_proceedings": paper & ~name.contains("IEEE") & F.coalesce("indexed", F.lit(False)), "lecture_notes": (chapter | paper) & name.contains("LECTURE NOTES")}
     )
 
