@@ -59,6 +59,34 @@ def overlaps(df: DataFrame, known: DataFrame, *, key: str, token: str, entity: s
     return t.join(known.select(entity, F.col(known_token).alias("_t")).distinct(), "_t").groupBy(key, entity).agg(F.count("*").alias("n"))
 
 
+#: A token with more than this part of all the known tokens is hot: fewer than so many can be. Their rows go to SHARES tasks each.
+HOT, SHARES = 1024, 32
+
+
+def likely(df: DataFrame, known: DataFrame, *, key: str, token: str, entity: str, known_token: str, share: float) -> DataFrame:
+    """(key, entity, n): the known entities that have at least ``share`` of a key's distinct tokens, and how many they have.
+
+    Whoever has t of m tokens has one of any m - t + 1 of them. So a key looks up only its rarest ones, and
+    a token that everybody has is looked up by keys that have none rarer to spare; pairs found are then counted in full.
+    Hot tokens are known by name (fewer than HOT of them) and spread. A null token is none; keys without tokens find nothing."""
+    own = df.select(F.col(key).alias("_k"), F.col(token).alias("_t")).where("_t is not null").distinct()
+    held = known.select(F.col(entity).alias("_e"), F.col(known_token).alias("_t")).where("_t is not null").distinct()
+    often = held.groupBy("_t").agg(F.count("*").alias("_f"))
+    total = held.count()
+    hot = F.broadcast(often.where(F.col("_f") * HOT > total).select("_t", F.lit(True).alias("_hot")))
+    ranked = own.join(often, "_t", "left").groupBy("_k").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("_t").alias("t")))).alias("_x"))
+    m = F.size("_x")
+    least = F.greatest(F.ceil(F.round(m * F.lit(share), 9)), F.lit(1)).cast("int")
+    asked = ranked.select("_k", F.explode(F.transform(F.slice("_x", F.lit(1), m - least + 1), lambda x: x["t"])).alias("_t"))
+    spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SHARES - 1))).otherwise(F.array(F.lit(0)))
+    left = asked.select("_k", "_t").join(hot, "_t", "left").select("_k", "_t", F.explode(spread).alias("_s"))
+    right = held.join(hot, "_t", "left").select("_e", "_t", F.when(F.col("_hot"), F.pmod(F.xxhash64("_e"), F.lit(SHARES)).cast("int")).otherwise(0).alias("_s"))
+    pairs = left.join(right, ["_t", "_s"]).select("_k", "_e").distinct()
+    tokens = held.groupBy("_e").agg(F.collect_list("_t").alias("_theirs"))
+    counted = pairs.join(ranked.select("_k", F.transform("_x", lambda x: x["t"]).alias("_own"), least.alias("_least")), "_k").join(tokens, "_e").withColumn("n", F.size(F.array_intersect("_own", "_theirs")).cast("long"))
+    return counted.where(F.col("n") >= F.col("_least")).select(F.col("_k").alias(key), F.col("_e").alias(entity), "n")
+
+
 def reconciled(expected: DataFrame, stored: DataFrame, *, key: list[str], value: str) -> DataFrame:
     """What makes stored equal to expected: action insert, repair, delete or none for each key."""
     both = expected.select(*key, F.col(value).alias("_e"), F.lit(True).alias("_in_e")).join(stored.select(*key, F.col(value).alias("_s"), F.lit(True).alias("_in_s")), key, "full_outer")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import content_hash
+from ..store import Folder
 
 BITS, MOST_FILES, MOST_ROWS, KEPT = 4, 8, 10_000_000, 20
 
@@ -37,43 +38,9 @@ class Manifest:
         return [f for b, x in self.buckets.items() if buckets is None or b in buckets for f in x["files"]]
 
 
-class _Folder:
-    """A folder in whatever store Hadoop reaches."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.jvm = spark, path.rstrip("/"), spark._jvm
-        self.fs = self.at("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def at(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def names(self, name: str = "") -> list[str]:
-        return sorted(f.getPath().getName() for f in self.fs.listStatus(self.at(name))) if self.fs.exists(self.at(name)) else []
-
-    def text(self, name: str) -> str:
-        stream = self.fs.open(self.at(name))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def put(self, name: str, text: str) -> None:
-        """Written whole under another name, then moved to its own."""
-        hidden = self.at(f"{name}.new")
-        out = self.fs.create(hidden, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        self.fs.delete(self.at(name), False)
-        if not self.fs.rename(hidden, self.at(name)):
-            raise OSError(f"can't write {name}")
-
-    def delete(self, name: str) -> None:
-        self.fs.delete(self.at(name), True)
-
-
 def manifest(spark: SparkSession, ledger: str, before: int | None = None) -> Manifest | None:
     """The latest manifest, or the latest before a batch."""
-    folder = _Folder(spark, ledger)
+    folder = Folder(spark, ledger)
     numbers = [int(n[:-5]) for n in folder.names("manifest") if n.endswith(".json")]
     numbers = [n for n in numbers if before is None or n < before]
     return Manifest(**json.loads(folder.text(f"manifest/{max(numbers):012d}.json"))) if numbers else None
@@ -84,7 +51,7 @@ def _cell(key: list[str], depth: int) -> Column:
     return F.substring(F.lpad(F.bin(F.xxhash64(*key)), 64, "0"), -depth, depth)
 
 
-def _written(df: DataFrame, folder: _Folder, name: str) -> dict[str, dict]:
+def _written(df: DataFrame, folder: Folder, name: str) -> dict[str, dict]:
     """df written in a folder for each bucket; its files and rows by bucket. A batch's number is in the name, so one that runs again replaces its files."""
     path = f"{folder.path}/{name}"
     df.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
@@ -101,7 +68,7 @@ def append(ledger: str, batch: DataFrame, number: int, *, key: list[str], bits:
     how many files were read to tell. A batch that runs again under its number ends the same, and so does
     one after a run that was stopped: what no manifest names is not there."""
     spark = batch.sparkSession
-    folder, columns = _Folder(spark, ledger), [*key, "payload_hash"]
+    folder, columns = Folder(spark, ledger), [*key, "payload_hash"]
     held = manifest(spark, ledger, before=number) or Manifest(-1, bits, {})
     fresh = batch.dropDuplicates(columns).withColumn("_cell", _cell(key, held.depth))
     cells = [r[0] for r in fresh.select("_cell").distinct().collect()]  # 2**depth at most, as many as there are buckets
@@ -123,7 +90,7 @@ def append(ledger: str, batch: DataFrame, number: int, *, key: list[str], bits:
     return new, len(known)
 
 
-def _tidied(folder: _Folder, schema, buckets: dict, touched: set[str], number: int, key: list[str], most_files: int, most_rows: int) -> tuple[dict, set[str]]:
+def _tidied(folder: Folder, schema, buckets: dict, touched: set[str], number: int, key: list[str], most_files: int, most_rows: int) -> tuple[dict, set[str]]:
     """What becomes of the touched buckets that are too large, or of too many files, and which of them split."""
     split = {b for b in touched if buckets[b]["rows"] > most_rows}
     merged = {b for b in touched if len(buckets[b]["files"]) > most_files} | split
@@ -141,7 +108,7 @@ def _tidied(folder: _Folder, schema, buckets: dict, touched: set[str], number: i
 
 def vacuum(spark: SparkSession, ledger: str, kept: int = KEPT) -> int:
     """Deletes the manifests but for the last ``kept``, and the files that none of those names; returns how many folders went."""
-    folder = _Folder(spark, ledger)
+    folder = Folder(spark, ledger)
     names = [n for n in folder.names("manifest") if n.endswith(".json")]
     for n in names[:-kept]:
         folder.delete(f"manifest/{n}")
