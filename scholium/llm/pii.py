@@ -1,17 +1,18 @@
 """Personal data: candidate spans, boosted trees over format and context, calibrated thresholds.
 
-Generators with high recall propose spans, which may overlap: the four base patterns, and
-looser forms of e-mail addresses and telephone numbers. Base spans (a base pattern's match
+Generators with high recall propose spans, which may overlap: the four base patterns,
+looser forms of e-mail addresses and telephone numbers, and secrets: long runs that mix letters and digits. Base spans (a base pattern's match
 that passes its check) are always selected. They also stand in for what no check decides:
 features are masked (an address counts as if written plainly, a telephone number without
-its plus and its number of digits), so a checked span looks like a loose one in the same
-place. Right are base spans and candidates that overlap one of their kind; wrong are candidates that
+its plus and its number of digits, a secret without its digits and what stands next to it), so a checked span looks like a loose one in the same
+place. Right are base spans and candidates that overlap one of their kind, and secrets of many different
+characters to which a name like token or password is given; wrong are candidates that
 fail their kind's check or are part of a base span of another kind; all others, which are
 those that may be added, teach nothing and are judged by the trees. Each kind has a
 threshold: the least score at which the labelled candidates of that kind in the other half
 of the documents, chosen by hash, are right as often as ``precision`` asks; without
 any right ones there, the kind adds nothing. All work on texts is SQL expressions, row by row,
-without a shuffle; what is learned from is a table of at most 2,592 counted cells.
+without a shuffle; what is learned from is a table of at most 3,240 counted cells.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from ._boost import BoostedTrees
 from ._store import narrowed, written
 
-KINDS = ["email", "ip", "card", "phone"]
+KINDS = ["email", "ip", "card", "phone", "secret"]
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: Base patterns. Quantifiers are possessive where nothing after them could match what they
 #: give back, and a match starts where a run of its first characters does (or the last match
@@ -41,6 +42,11 @@ LOOSE = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}{{1,64}}+\x20?(?:@|\(at\)|\[at\])\x20?{_LABEL}{{1,63}}+(?:(?:\.|\x20\.\x20|\x20?(?:\(dot\)|\[dot\])\x20?){_LABEL}{{1,63}}+){{1,8}}+",
     "phone": r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{2,4}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4}){0,4}+(?![0-9])",
 }
+#: A run of 16 to 256 characters of the usual encodings, with a letter and a digit.
+_CODE = "[A-Za-z0-9+/_-]"
+LOOSE["secret"] = rf"(?<![A-Za-z0-9+/_=-])(?={_CODE}{{16}})(?={_CODE}*?[0-9])(?={_CODE}*?[A-Za-z]){_CODE}{{16,256}}+={{0,2}}+(?![A-Za-z0-9+/_=-])"
+#: What is said before a secret: its name, and a sign that it is given.
+_NAMED = r"""(?i)(?:(?:token|secret|passw(?:or)?d|passphrase|pwd|api[\x20_-]?key|access[\x20_-]?key|private[\x20_-]?key|credentials?|authorization)["'\x20]{0,2}(?:[:=]|is\x20)[\x20\x09:="']{0,4}(?:(?:bearer|basic)\x20)?|bearer\x20)$"""
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _CUES = r"(?i)(?:mail|contact|reach|write|call|phone|tel|fax|mobile|card|visa|account|pay|ip|host|server|address)\W{0,3}(?:\w+\W{1,2})?$"
 _FEATURES = ["kind", "digits", "gaps", "before", "cue", "length"]
@@ -88,12 +94,19 @@ def _passes(kind: str, hit: Column) -> Column:
 
 def _fails(kind: str, hit: Column) -> Column:
     """Whether a match of a loose form can't be of its kind: what no telephone number has for digits,
-    or a date; an address whose last label isn't letters."""
+    or a date; an address whose last label isn't letters; a secret that is short or of few different characters (one without a name can't be told from an id, so it fails too)."""
+    if kind == "secret":
+        return (F.length(hit) < 20) | ~_varied(hit)
     if kind == "email":
         return ~_plain(kind, hit).rlike(r"\.[A-Za-z]{2,24}$")
     return ~F.length(_digits(hit)).between(10, 15) | hit.rlike(_DATE)
 
 
+def _varied(hit: Column) -> Column:
+    """Whether a run has as many different characters as a random one of its length has at least."""
+    return F.size(F.array_distinct(F.split(hit, ""))) >= F.least(F.length(hit) / 3, F.lit(10))
+
+
 def _plain(kind: str, hit: Column) -> Column:
     """The match as a checked one would look without its mark."""
     if kind == "email":
@@ -120,11 +133,11 @@ def _found(text: Column, kind: str, pattern: str, base: bool, gate: Column) -> C
         start = before + F.length(gap)
         last, plain = F.right(gap, F.lit(1)), _plain(kind, hit)
         bins = {
-            "kind": F.lit(number), "digits": F.lit(0) if kind == "phone" else _bin(F.length(_digits(plain)), 0, 6, 9, 13, 16), "gaps": _bin(F.length(F.regexp_replace(plain, r"[^\x20().-]", "")), 0, 2),
-            "before": F.when(F.length(last) == 0, 0).when(last.rlike(r"[\s]"), 0).when(last.rlike("[A-Za-z0-9]"), 1).otherwise(2),
-            "cue": F.when(F.right(gap, F.lit(32)).rlike(_CUES), 1).otherwise(0), "length": _bin(F.length(plain), 12, 20),
+            "kind": F.lit(number), "digits": F.lit(0) if kind in ("phone", "secret") else _bin(F.length(_digits(plain)), 0, 6, 9, 13, 16), "gaps": F.lit(0) if kind == "secret" else _bin(F.length(F.regexp_replace(plain, r"[^\x20().-]", "")), 0, 2),
+            "before": F.lit(0) if kind == "secret" else F.when(F.length(last) == 0, 0).when(last.rlike(r"[\s]"), 0).when(last.rlike("[A-Za-z0-9]"), 1).otherwise(2),
+            "cue": F.when(F.right(gap, F.lit(32)).rlike(_NAMED if kind == "secret" else _CUES), 1).otherwise(0), "length": _bin(F.length(plain), 12, 20),
         }
-        return F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.length(hit)).alias("end"), (_passes(kind, hit) if base else F.lit(False)).alias("base"), (~_passes(kind, hit) if base else _fails(kind, hit)).alias("wrong"), F.struct(*(bins[f].alias(f) for f in _FEATURES)).alias("bins"))
+        return F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.length(hit)).alias("end"), (_passes(kind, hit) if base else F.lit(False)).alias("base"), (~_passes(kind, hit) if base else _fails(kind, hit) | (bins["cue"] == F.lit(0)) if kind == "secret" else _fails(kind, hit)).alias("wrong"), F.struct(*(bins[f].alias(f) for f in _FEATURES)).alias("bins"))
 
     def placed(ps: Column) -> Column:
         lengths = F.transform(ps, lambda p: (F.length(p["gap"]) + F.length(p["hit"])).cast("long"))
@@ -164,7 +177,8 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     number, at = t.rlike("[0-9]"), t.contains("@")
     gates = {"email": at, "ip": number, "card": number, "phone": number & t.contains("+")}
     every = [_found(t, k, p, True, gates[k]) for k, p in BASE.items()]
-    every += [_found(t, "email", LOOSE["email"], False, at | t.contains("(at)") | t.contains("[at]")), _found(t, "phone", LOOSE["phone"], False, number)]
+    code = t.rlike(LOOSE["secret"])
+    every += [_found(t, "secret", LOOSE["secret"], False, code), _found(t, "email", LOOSE["email"], False, at | t.contains("(at)") | t.contains("[at]")), _found(t, "phone", LOOSE["phone"], False, number)]
     out = docs.withColumn("pii_all", F.concat(*every))
     base = F.array_sort(F.filter("pii_all", lambda s: s["base"]))
     more = F.array_sort(F.filter("pii_all", lambda s: ~s["base"]))
@@ -176,7 +190,8 @@ def fitted(found: DataFrame, key: Column, precision: float) -> tuple[BoostedTree
     base span and no check decides aren't counted: they are what is judged."""
 
     def label(s: Column, same: Column, any_base: Column) -> Column:
-        return F.when(same, True).when(s["wrong"] | any_base, False)
+        secret = s["kind"] == KINDS.index("secret")
+        return F.when(same, True).when(any_base | (s["wrong"] & ~secret), False).when(secret & ~s["wrong"], True)
 
     stands = F.transform("pii_base", lambda s: F.struct(s["bins"].alias("bins"), F.lit(True).alias("right")))
     flags = F.arrays_zip(_overlapping("pii_more", "pii_base", apart=True).alias("same"), F.col("pii_overlaps").alias("any"))
@@ -261,5 +276,5 @@ def digest(docs: DataFrame, **options) -> DataFrame:
     def number(k: int) -> Column:
         return F.size(F.filter("pii_base", lambda s: s["kind"] == k)).cast("long")
 
-    counts = [number(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    counts = [number(KINDS.index(kind)).alias(f"n_{kind}") for kind in BASE]
     return found.select("doc_id", *counts, F.sha2(_listed("pii_base"), 256).alias("base_sha256"), _listed("pii_spans").alias("spans"))

@@ -9,7 +9,7 @@ import xxhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-KINDS = ["email", "ip", "card", "phone"]
+KINDS = ["email", "ip", "card", "phone", "secret"]
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
@@ -32,7 +32,7 @@ def luhn(digits):
 
 def base_spans(text):
     out = []
-    for k, kind in enumerate(KINDS):
+    for k, kind in enumerate(BASE):
         for m in BASE[kind].finditer(text or ""):
             digits = re.sub("[^0-9]", "", m[0])
             good = {"email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in m[0].split(".")), "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]

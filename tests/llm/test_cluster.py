@@ -14,20 +14,28 @@ from . import brute
 from .conftest import PASSAGE
 
 RUN = """
-import json, sys
+import json, sys, traceback
 from pyspark.sql import SparkSession
 import __spark_entry__ as entry
-from scholium.llm import lm, substrings
+from scholium.llm import audit, collocations, lines, lm, substrings
 d, out = sys.argv[1:]
-spark = (SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.sql.shuffle.partitions", "7").config("spark.ui.enabled", "false")
-    .config("spark.sql.session.timeZone", "UTC").config("spark.executor.memory", "900m").config("spark.checkpoint.dir", "file://" + d + "/shared").getOrCreate())
+spark = (SparkSession.builder.master("local-cluster[2,1,2048]").config("spark.sql.shuffle.partitions", "7").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
+    .config("spark.sql.session.timeZone", "UTC").config("spark.executor.memory", "1800m").config("spark.checkpoint.dir", "file://" + d + "/shared").getOrCreate())
 spark.sparkContext.setLogLevel("ERROR")
-found = {n: [list(r) for r in entry.queries()[n](spark, d).collect()] for n in ("op9_simhash", "op10_mix", "pipeline")}
+spark.range(100).repartition(4).mapInPandas(lambda x: x, "id long").count()
+json.dump("it is up", open(out + "/started", "w"))
 docs, small = spark.read.parquet(d + "/documents.parquet"), {"block_bytes": 20_000, "part_bytes": 20_000}
-found["op8"] = [list(r) for r in substrings.deduplicated(docs, **small).collect()]
-found["op8 merged"] = [list(r) for r in substrings.deduplicated(docs, fan=3, **small).collect()]
-found["op4"] = [list(r) for r in lm.scores(docs, **small).collect()]
-json.dump(found, open(out, "w"))
+labels = spark.read.parquet(d + "/labels.parquet")
+runs = {n: (lambda n=n: entry.queries()[n](spark, d)) for n in ("op9_simhash", "op10_mix", "pipeline")} | {
+    "op8": lambda: substrings.deduplicated(docs, **small), "op8 merged": lambda: substrings.deduplicated(docs, fan=3, **small), "op4": lambda: lm.scores(docs, **small),
+    "op11": lambda: audit.interactions(docs, labels), "op12": lambda: collocations.mined(docs, **small), "op13": lambda: lines.digest(docs),
+}
+for n, run in runs.items():
+    try:
+        found = {"rows": [list(r) for r in run().collect()]}
+    except Exception:
+        found = {"error": traceback.format_exc()[-3000:]}
+    json.dump(found, open(out + "/" + n, "w"))
 spark.stop()
 """
 
@@ -47,13 +55,47 @@ def tables(spark, sf_dir, tmp_path_factory):
     return out
 
 
+def _home(where):
+    """Spark's own folder, but for the workers' files: those go to a folder that is ours to write."""
+    import pyspark
+
+    home = os.path.dirname(pyspark.__file__)
+    for name in os.listdir(home):
+        if name != "work":
+            os.symlink(os.path.join(home, name), os.path.join(where, name))
+    return where
+
+
+class _Found:
+    """What each query of the run gave; a query that failed, or a cluster that ended early, says why."""
+
+    def __init__(self, folder, ended):
+        self.folder, self.ended = folder, ended
+
+    def __getitem__(self, name):
+        path = os.path.join(self.folder, name)
+        assert os.path.exists(path), f"the run ended before {name}: {self.ended}"
+        said = json.load(open(path))
+        assert "error" not in said, said["error"]
+        return said["rows"]
+
+
 @pytest.fixture(scope="module")
 def found(tables, tmp_path_factory):
-    out = str(tmp_path_factory.mktemp("found") / "rows.json")
-    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = os.environ | {"PYTHONPATH": f"{top}:{os.environ.get('PYTHONPATH', '')}"}
-    subprocess.run([sys.executable, "-c", RUN, tables, out], check=True, timeout=900, env=env, cwd=str(tmp_path_factory.mktemp("cwd")))
-    return json.load(open(out))
+    out, top = str(tmp_path_factory.mktemp("found")), os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    scratch = str(tmp_path_factory.mktemp("scratch"))
+    env = os.environ | {
+        "PYTHONPATH": f"{top}:{os.environ.get('PYTHONPATH', '')}", "SPARK_HOME": _home(str(tmp_path_factory.mktemp("home"))), "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1",
+        "SPARK_LOCAL_DIRS": scratch, "PYSPARK_PYTHON": sys.executable, "PYSPARK_SUBMIT_ARGS": f"--driver-memory 2g --driver-java-options -Djava.io.tmpdir={scratch} pyspark-shell",
+    }
+    try:
+        run = subprocess.run([sys.executable, "-c", RUN, tables, out], timeout=1500, env=env, cwd=str(tmp_path_factory.mktemp("cwd")), capture_output=True, text=True)
+        ended = f"status {run.returncode}\n{run.stdout[-500:]}\n{run.stderr[-3000:]}"
+    except subprocess.TimeoutExpired as e:
+        ended = f"too late\n{(e.stderr or b'')[-3000:]}"
+    if not os.path.exists(f"{out}/started"):
+        pytest.skip(f"no local cluster could be started here: {ended}")
+    return _Found(out, ended)
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +131,18 @@ def test_mix(found, docs):
 def test_pipeline(found, docs):
     ids = [r[0] for r in found["pipeline"]]
     assert len(ids) == len(set(ids)) and set(ids) <= {i for i, _ in docs}
+
+
+def test_lines(found, docs):
+    assert sorted(map(tuple, found["op13"])) == sorted((i, n, gone, brute.sha(k)) for (i, _), (n, gone, k) in zip(docs, brute.kept_lines(docs), strict=True))
+
+
+def test_audit(found, spark, tables):
+    every = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
+    labels = [tuple(r) for r in spark.read.parquet(f"{tables}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    assert sorted(map(tuple, found["op11"])) == sorted(brute.audit(every, labels))
+
+
+def test_phrases(found, spark, tables):
+    every = [(r.text, r.lang) for r in spark.read.parquet(f"{tables}/documents.parquet").collect()]
+    assert sorted(map(tuple, found["op12"])) == sorted(brute.collocations(every))

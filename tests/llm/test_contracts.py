@@ -65,6 +65,24 @@ def test_op1_adds_what_no_base_pattern_matches(spark):
     assert all(rows[i].n_email == rows[i].n_phone == 1 for i in range(60))
 
 
+def test_op1_finds_secrets(spark):
+    """What is named a token or a password is found, in quotes or not; a run of few characters, a long word, a page's path and a number are left alone."""
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "a1B" + "".join(rng.choice("ABCDEFGHJKabcdefghjk0123456789+/") for _ in range(n)) + "=="
+    taught = [f"We set {name} {hexes(40)}{end} here." for i in range(40) for name, end in (('token = "', '"'), ("password:", ""))]
+    held = {f'api_key="{(a := mixed(37))}" is ours': a, f"Authorization: Bearer {(b := hexes(64))} was sent": b, f"secret: {(c := hexes(32))}": c}
+    clean = ["token = " + "a1" * 15, "password: internationalisation-of-everything", "see example.com/2024/01/a-page-of-long-name-17 now", "number 12345678901234567890123", f"the id {hexes(10)} is short", "token = none"]
+    texts = [*taught, *held, *clean]
+    rows = {r.doc_id: r.spans for r in pii.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (text, secret) in enumerate(held.items(), len(taught)):
+        assert rows[i] == f"secret:{text.index(secret)}:{text.index(secret) + len(secret)}"
+    assert all(rows[i].startswith("secret:") for i in range(len(taught)))
+    assert [rows[i] for i in range(len(taught) + len(held), len(texts))] == [""] * len(clean)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not any(s in r.text for r in pii.redacted(df).collect() for s in held.values())
+
+
 def test_op1_overlaps_are_those_of_all_pairs(spark):
     rng = random.Random(8)
     say = lambda n: sorted((a := rng.randrange(400), rng.randrange(4), a + rng.randrange(1, 9)) for _ in range(n))  # noqa: E731, F841
