@@ -106,14 +106,12 @@ def citing_articles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 def with_layout(df: DataFrame, layouts: DataFrame, *, cells: str, keys: list[str]) -> DataFrame:
     """Typed fields of positional cells. layouts: keys, year_from, year_to, field, position; a row of
-    df (with keys and year) takes the layout of its keys and year. One broadcast of a few rows
-    (layouts is checked to be small), no ladder of conditions."""
-    n = layouts.count()
-    if n > 10_000:
-        raise ValueError(f"{n} layout rows; 10,000 at most")
+    df (with keys and year) takes the layout of its keys and year. Up to 10,000 layout rows are
+    broadcast, more are joined by their keys; no ladder of conditions."""
+    few = layouts.limit(10_001).count() <= 10_000
     maps = layouts.groupBy(*keys, "year_from", "year_to").agg(F.map_from_entries(F.collect_list(F.struct("field", "position"))).alias("_layout"))
     on = [df[k] == maps[k] for k in keys] + [df["year"] >= maps["year_from"], df["year"] <= maps["year_to"]]
-    joined = df.join(F.broadcast(maps), on)
+    joined = df.join(F.broadcast(maps) if few else maps, on)
     values = F.transform_values("_layout", lambda _, p: F.get(F.col(cells), p))
     return joined.select(*(df[c] for c in df.columns), values.alias("fields"))
 

@@ -94,10 +94,9 @@ class PagedSource(DataSource):
 def paged(spark: SparkSession, endpoint: str, tasks: list[tuple[str, str | None]], **options) -> DataFrame:
     """All pages of each task, cursor after cursor, as (task, page, record, payload, error).
     Items without a record go. Tasks are read in slices (50 each), one Spark task a slice; a task that fails
-    after its attempts gives one row with its error and what it had read. tasks is a work list of one
-    run (10,000 at most), not data; paged_from takes more."""
+    after its attempts gives one row with its error and what it had read. A list of more than 10,000 is read as paged_from reads a table."""
     if len(tasks) > 10_000:
-        raise ValueError(f"{len(tasks)} tasks; 10,000 at most in a run")
+        return paged_from(spark.createDataFrame([tuple(t) for t in tasks], "task string, from_date string"), endpoint, **options)
     spark.dataSource.register(PagedSource)
     return spark.read.format("paged").options(tasks=json.dumps([list(t) for t in tasks]), **{k: str(v) for k, v in options.items()}).load(endpoint)
 

@@ -79,8 +79,8 @@ def test_paged(spark, tmp_path):
     df = paged.paged(spark, str(tmp_path), [("a", None), ("lost", "2020-01-01")], pause=0, attempts=2, slice=1)
     assert sorted((r.task, r.page, r.record or "") for r in df.collect()) == [("a", 0, "1"), ("a", 1, "2"), ("lost", 0, "")]
     assert "FileNotFoundError" in df.where("error is not null").first().error
-    with pytest.raises(ValueError):
-        paged.paged(spark, str(tmp_path), [("a", None)] * 10_001)
+    many = paged.paged(spark, str(tmp_path), [("a", None)] * 10_001, pause=0, attempts=1, slice=2_000)  # read as a table of tasks is
+    assert sorted((r.page, r.record, r["count"]) for r in many.groupBy("page", "record").count().collect()) == [(0, "1", 10_001), (1, "2", 10_001)]
     known = spark.createDataFrame([("1",), ("2",), (None,)], "eid string")
     dates = spark.createDataFrame([("1", "2020-05-01"), ("1", "2021-05-01")], "cited_eid string, date string")
     assert sorted((r.eid, r.since) for r in paged.lower_bounds(known, dates).collect()) == [("1", "2021-05-01"), ("2", "1900-01-01")]
