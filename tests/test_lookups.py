@@ -18,6 +18,18 @@ def test_issn_bridge_and_lookup(spark):
     assert sorted(map(tuple, lookups.by_issn(asked, bridge, issn="q").collect())) == [("1234 567x", 1), ("1234567X", 1)]
 
 
+def test_an_issn_that_many_share_is_dealt_and_its_pairs_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(lookups, "BLOCK", 4)
+    monkeypatch.setattr(lookups, "TASK", 16)
+    issn = lambda i: "1234567X" if i % 3 else f"0000{i:04d}"
+    asked, held = [(i, issn(i)) for i in range(40)] + [(1, issn(1)), (50, None), (51, "x")], [(issn(i), i) for i in range(30)] + [(issn(1), 1), (None, 9)]
+    found = lookups.by_issn(spark.createDataFrame(asked, "k int, q string"), spark.createDataFrame(held, "issn string, journal int"), issn="q")
+    assert sorted(map(tuple, found.collect())) == sorted({(k, q, j) for k, q in asked for i, j in held if q and q == i})
+    assert found.select(F.spark_partition_id()).distinct().count() > 2
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert lookups.by_issn(spark.createDataFrame([], "k int, q string"), spark.createDataFrame(held, "issn string, journal int"), issn="q").isEmpty()
+
+
 def test_traversals(spark):
     edges = spark.createDataFrame([("a", "p"), ("a", "p"), ("b", "p"), ("b", "q"), (None, "r")], "who string, what string")
     start = spark.createDataFrame([("a",), ("a",), (None,)], "who string")
